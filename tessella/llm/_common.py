@@ -49,7 +49,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_row(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[tuple]], Iterable[tuple]], keep: bool = False) -> DataFrame:
+def per_row(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """Run ``fn`` over the rows of Arrow batches: it takes tuples of ``columns`` and yields output tuples.
 
     The input is narrowed to ``columns`` first, so other columns, whatever their names, never reach Python.
@@ -68,11 +68,13 @@ def per_row(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterat
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
+        size = 0
         for row in fn(rows()):
             made.append(row)
-            if len(made) >= BATCH_ROWS:
+            size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+            if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
                 yield _batch(made, names, arrow)
-                made = []
+                made, size = [], 0
         if made:
             yield _batch(made, names, arrow)
 

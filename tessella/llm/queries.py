@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .compression_bands import op6_compression_bands
+from .edit_counts import op1_edit_aware_counts
+from .merge_replay import op8_bpe_merge_replay
 
-QUERIES = {f.__name__: f for f in (op6_compression_bands,)}
+QUERIES = {f.__name__: f for f in (op1_edit_aware_counts, op6_compression_bands, op8_bpe_merge_replay)}
 ORACLE: dict[str, str] = {}
