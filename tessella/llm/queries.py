@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from .compression_bands import op6_compression_bands
 from .edit_counts import op1_edit_aware_counts
+from .flac import op5_flac_media
+from .gam_quality import op10_gam_quality
 from .merge_replay import op8_bpe_merge_replay
+from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_edit_aware_counts, op6_compression_bands, op8_bpe_merge_replay)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_edit_aware_counts,
+        op2_toxicity,
+        op5_flac_media,
+        op6_compression_bands,
+        op8_bpe_merge_replay,
+        op10_gam_quality,
+    )
+}
 ORACLE: dict[str, str] = {}
