@@ -6,6 +6,7 @@ from .compression_bands import op6_compression_bands
 from .edit_counts import op1_edit_aware_counts
 from .flac import op5_flac_media
 from .gam_quality import op10_gam_quality
+from .bayes_minhash import op9_bayes_minhash
 from .bin_slack import op3_min_bin_slack
 from .line_spread import ORACLE_SQL as OP7_SQL
 from .line_spread import op7_line_spread
@@ -22,6 +23,7 @@ QUERIES = {
         op6_compression_bands,
         op7_line_spread,
         op8_bpe_merge_replay,
+        op9_bayes_minhash,
         op10_gam_quality,
     )
 }
