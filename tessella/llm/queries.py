@@ -11,6 +11,7 @@ from .bin_slack import op3_min_bin_slack
 from .line_spread import ORACLE_SQL as OP7_SQL
 from .line_spread import op7_line_spread
 from .merge_replay import op8_bpe_merge_replay
+from .surrogates import op4_surrogates
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         op1_edit_aware_counts,
         op2_toxicity,
         op3_min_bin_slack,
+        op4_surrogates,
         op5_flac_media,
         op6_compression_bands,
         op7_line_spread,

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, held_out, held_out_col, per_row
+from ._common import bound_batches, documents, held_out, held_out_col, per_row
 
 #: Labelled rows that the lexicon is learnt from, at most; taken by a hash of doc_id.
 MAX_ROWS = 12_000
@@ -302,6 +302,21 @@ def score(docs: DataFrame, terms: dict, fuzzy: dict, threshold: float = THRESHOL
     return per_row(docs, ["doc_id", "text"], SCHEMA, run)
 
 
+def keep_clean(docs: DataFrame, terms: dict, fuzzy: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under the threshold; nothing is shuffled."""
+    at = docs.columns.index("text")
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(Lexicon(terms))
+        for b in batches:
+            yield b.filter(pa.array([score_text(t, matcher, fuzzy)[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, *fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
