@@ -115,42 +115,51 @@ def _shaped(canon: Column, digest: Column, letters=LETTERS, kept: Column | int =
     return F.array_join(F.transform(_chars(canon), one), "")
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, though it is used often."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Luhn's sum of a digit string, where every second digit from the right, but not the last, is doubled."""
     n = F.length(digits)
 
     def weight(c: Column, i: Column) -> Column:
         v = c.cast("int")
-        twice = v * 2
-        return F.when((n - i) % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(v)
+        return F.when((n - i) % 2 == 0, v * 2 - F.when(v > 4, 9).otherwise(0)).otherwise(v)
 
     return F.aggregate(F.transform(_chars(digits), weight), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of a canonical form, in canonical form."""
-    digest = _digest(key, kind, canon, attempt)
-    n = F.length(canon)
+def _card(canon: Column, digest: Column) -> Column:
+    """The first digit stays; the last makes the number as valid as it was."""
+    valid = F.pmod(_luhn_sum(canon), F.lit(10)) == 0
 
-    phone_kept = F.greatest(n - 10, F.lit(0))
-    phone = F.regexp_replace(_shaped(canon, digest, kept=phone_kept), "^$", "")
-    phone = F.array_join(F.transform(_chars(phone), lambda c, i: F.when(((i == phone_kept) | (i == phone_kept + 3)) & (c < "2"), _pick("23456789", _value(digest, i + 17))).otherwise(c)), "")
+    def ended(body: Column) -> Column:
+        check = F.lit(10) - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+        return F.concat(body, F.pmod(check + F.when(valid, 0).otherwise(1 + _value(digest, F.lit(40)) % 9), F.lit(10)).cast("string"))
 
-    body = F.substr(_shaped(canon, digest, kept=F.lit(1)), F.lit(1), n - 1)
-    check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    valid = F.pmod(_luhn_sum(canon), F.lit(10)) == 0
-    card = F.concat(body, F.pmod(check + F.when(valid, 0).otherwise(1 + _value(digest, F.lit(40)) % 9), F.lit(10)).cast("string"))
+    return _let(F.substr(_shaped(canon, digest, kept=F.lit(1)), F.lit(1), F.length(canon) - 1), ended)
 
-    octets = F.concat_ws(".", *[(1 + _value(digest, F.lit(i)) % 254).cast("string") for i in range(4)])
 
+def _phone(canon: Column, digest: Column) -> Column:
+    """The country's digits stay; area and exchange begin with 2 to 9."""
+    kept = F.greatest(F.length(canon) - 10, F.lit(0))
+    fixed = lambda c, i: F.when(((i == kept) | (i == kept + 3)) & (c < "2"), _pick("23456789", _value(digest, i + 17))).otherwise(c)
+    return _let(_shaped(canon, digest, kept=kept), lambda p: F.array_join(F.transform(_chars(p), fixed), ""))
+
+
+def _email(canon: Column, digest: Column, key: str) -> Column:
+    """The local part and the host change, each host alike everywhere; the top-level domain stays."""
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_shaped(local, digest), F.lit("@"), _shaped(host, _digest(key, "domain", domain, 0)), top)
+    shaped_host = _let(_digest(key, "domain", domain, 0), lambda d: _shaped(host, d))
+    return F.concat(_shaped(local, digest), F.lit("@"), shaped_host, top)
 
-    hexed = _shaped(canon, digest, letters="abcdef")
-    secret = F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(canon, digest))
 
+def _name(canon: Column, digest: Column) -> Column:
+    """The title stays; names are syllables of the script, with an ending of the title's gender."""
     title = F.substring_index(canon, " ", 1)
     plain_title = F.regexp_replace(title, r"\.$", "")
     last = F.when(plain_title.isin(FEMALE), F.lit("a")).when(plain_title.isin(MALE), F.lit("o")).otherwise(F.lit("e"))
@@ -162,32 +171,40 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             words = F.array(*map(F.lit, SYLLABLES[script]))
             return F.concat(*[F.element_at(words, (_value(digest, F.lit(salt + i)) % len(SYLLABLES[script]) + 1).cast("int")) for i in range(4)])
 
-        ending = F.when(cyrillic, F.translate(last, "aoe", "аое")).otherwise(last)
-        return F.concat(F.initcap(F.when(cyrillic, syllables("cyrillic")).otherwise(syllables("latin"))), F.when(cyrillic, F.lit("н")).otherwise(F.lit("n")), ending)
+        return F.initcap(F.when(cyrillic, F.concat(syllables("cyrillic"), F.lit("н"), F.translate(last, "aoe", "аое"))).otherwise(F.concat(syllables("latin"), F.lit("n"), last)))
 
     parts = F.split(canon, " ")
-    name = F.concat_ws(" ", title, named(F.element_at(parts, 2), 0), F.when(F.size(parts) > 2, named(F.try_element_at(parts, F.lit(3)), 8)))
+    return F.concat_ws(" ", title, named(F.element_at(parts, 2), 0), F.when(F.size(parts) > 2, named(F.try_element_at(parts, F.lit(3)), 8)))
 
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", octets)
-        .when(kind == "card", card)
-        .when(kind == "phone", phone)
-        .when(kind == "ssn", _shaped(canon, digest))
-        .when(kind == "hex", hexed)
-        .when(kind == "key", _shaped(canon, digest, kept=F.lit(4)))
-        .when(kind == "name", name)
-        .otherwise(secret)
-    )
+
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+    """The surrogate of a canonical form, in canonical form."""
+
+    def made(digest: Column) -> Column:
+        octets = F.concat_ws(".", *[(1 + _value(digest, F.lit(i)) % 254).cast("string") for i in range(4)])
+        return (
+            F.when(kind == "email", _email(canon, digest, key))
+            .when(kind == "ip", octets)
+            .when(kind == "card", _card(canon, digest))
+            .when(kind == "phone", _phone(canon, digest))
+            .when(kind == "name", _name(canon, digest))
+            .when((kind == "hex") | (kind == "secret") & canon.rlike("^[0-9a-f]+$"), _shaped(canon, digest, letters="abcdef"))
+            .otherwise(_shaped(canon, digest, kept=F.when(kind == "key", 4).otherwise(0)))
+        )
+
+    return _let(_digest(key, kind, canon, attempt), made)
 
 
 def laid(kind: Column, mention: Column, made: Column) -> Column:
     """A canonical surrogate in a mention's own format."""
-    by_digit = F.array_join(
-        F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(made, F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), ""
-    )
-    by_place = F.array_join(F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(made, i + 1, F.lit(1)))).otherwise(F.substr(made, i + 1, F.lit(1)))), "")
-    return F.when(kind.isin("phone", "card", "ssn"), by_digit).when(kind == "email", by_place).otherwise(made)
+
+    def placed(m: Column) -> Column:
+        nth = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), "[^0-9]", ""))
+        by_digit = F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(m, nth(i), F.lit(1))).otherwise(c))
+        by_place = F.transform(_chars(mention), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(m, i + 1, F.lit(1)))).otherwise(F.substr(m, i + 1, F.lit(1))))
+        return F.when(kind.isin("phone", "card", "ssn"), F.array_join(by_digit, "")).when(kind == "email", F.array_join(by_place, "")).otherwise(m)
+
+    return _let(made, placed)
 
 
 def mentions(text: Column) -> Column:
@@ -196,15 +213,13 @@ def mentions(text: Column) -> Column:
 
 
 def _entity(mention: Column) -> Column:
-    kind = type_of(mention)
-    return F.concat_ws("\x1f", kind, canonical(kind, mention))
+    return _let(type_of(mention), lambda kind: F.concat_ws("\x1f", kind, canonical(kind, mention)))
 
 
 def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The entities whose surrogate isn't the first attempt's: entity, attempt. Empty where nothing collides."""
-    found = docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention")).distinct()
-    kind = type_of(F.col("mention"))
-    entities = written(found.select(kind.alias("kind"), canonical(kind, F.col("mention")).alias("canon")).distinct().select("kind", "canon", F.lit(0).alias("attempt")), "entities")
+    found = docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention")).distinct().withColumn("kind", type_of(F.col("mention")))
+    entities = written(found.select("kind", canonical(F.col("kind"), F.col("mention")).alias("canon")).distinct().select("kind", "canon", F.lit(0).alias("attempt")), "entities")
     known = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
     now = entities
     for _ in range(MAX_ATTEMPTS):
@@ -238,10 +253,14 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def _replaced(docs: DataFrame, later: Column | None, key: str) -> DataFrame:
     def one(mention: Column) -> Column:
-        kind = type_of(mention)
-        canon = canonical(kind, mention)
-        attempt = F.lit(0) if later is None else F.coalesce(F.try_element_at(later, F.concat_ws("\x1f", kind, canon)), F.lit(0))
-        return laid(kind, mention, surrogate(kind, canon, attempt, key))
+        def typed(kind: Column) -> Column:
+            def formed(canon: Column) -> Column:
+                attempt = F.lit(0) if later is None else F.coalesce(F.try_element_at(later, F.concat_ws("\x1f", kind, canon)), F.lit(0))
+                return laid(kind, mention, surrogate(kind, canon, attempt, key))
+
+            return _let(canonical(kind, mention), formed)
+
+        return _let(type_of(mention), typed)
 
     gaps = F.split(F.col("text"), ANY, -1)
     pieces = F.zip_with(gaps, F.col("_mentions"), lambda gap, m: F.concat(gap, F.when(m.isNull(), F.lit("")).otherwise(one(m))))
