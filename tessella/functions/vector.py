@@ -20,12 +20,17 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-@F.pandas_udf("array<float>")
-def decode_f32(blob: pd.Series) -> pd.Series:
+def decode_f32(blob: Column) -> Column:
     """Little-endian 32-bit floats of a blob; a cut-off last one is left out."""
-    return blob.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4").tolist())
 
+    def decoded(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4").tolist())
 
-@F.pandas_udf("binary")
-def encode_f32(vector: pd.Series) -> pd.Series:
-    return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    return F.pandas_udf(decoded, "array<float>")(blob)
+
+
+def encode_f32(vector: Column) -> Column:
+    def encoded(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return F.pandas_udf(encoded, "binary")(vector)

@@ -9,6 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _has(array: str, want: str) -> Column:
+    return F.exists(array, lambda x: F.lower(x) == want)
+
+
 @dataclass(frozen=True)
 class SearchFilter:
     """``repos`` None is no restriction, an empty list matches nothing; labels must all be there, whatever their case."""
@@ -24,7 +28,7 @@ class SearchFilter:
         if self.state not in (None, "all"):
             out = out & (F.col("state") == self.state)
         for label in self.labels or []:
-            out = out & F.coalesce(F.exists("labels", lambda x, want=label.lower(): F.lower(x) == want), F.lit(False))
+            out = out & F.coalesce(_has("labels", label.lower()), F.lit(False))
         return out
 
     def to_json(self) -> str:
