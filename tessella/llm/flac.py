@@ -326,7 +326,7 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, bps: np.ndarray) -> t
             got[most + i, on] = bits.signed(pos[on], w[on])
             pos[on] += w[on]
         coefs, shift = np.zeros((max(most, 1), len(p)), np.int64), np.zeros(len(p), np.int64)
-        for o, c in enumerate(FIXED):
+        for o, c in enumerate(FIXED[: most + 1]):
             on = fixed[p] & (order == o)
             for j, v in enumerate(c):
                 coefs[j, on] = v
