@@ -25,6 +25,8 @@ MAX_TERMS = 2_000
 MIN_TOXIC, MIN_SHARE = 6, 0.9
 STEM_LENGTHS = range(4, 9)
 MIN_STEM_TOXIC, MIN_STEM_SHARE, MIN_STEM_WORDS = 6, 0.95, 3
+#: Toxic documents must have a term after this many distinct words for each of them: words of copied documents stand after the same ones.
+MIN_CONTEXT_SHARE = 0.15
 #: Edits allowed from these term lengths on.
 EDITS = ((5, 1), (10, 2))
 WINDOW = 6
@@ -242,6 +244,22 @@ def _terms(text: str | None) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if n < len(w)}
 
 
+def _contexts(sample: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """How many distinct words come before each of the wanted terms (a stem ends in *) in toxic documents."""
+
+    def pairs(text: str | None) -> set[str]:
+        words = TOKEN.findall((text or "").lower())
+        out = set()
+        for before, w in zip(["", *words], words, strict=False):
+            for term in (w, *(f"{w[:n]}*" for n in STEM_LENGTHS if n < len(w))):
+                if term in wanted:
+                    out.add(f"{term} {before}")
+        return out
+
+    pairs_of = _counted(sample.where("label <> 0"), pairs)
+    return {r.term: r.n for r in pairs_of.groupBy(F.substring_index("term", " ", 1).alias("term")).agg(F.count("*").alias("n")).collect()}  # at most the wanted terms
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[tuple[str, bool], float], dict[tuple[int, str], float]]:
     """The lexicon's terms with weights, and the weights of misspellings by (term, kind); (-1, "") has any other's.
 
@@ -252,6 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
         counts = _counted(sample, _terms)
         enough = (F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean")))
         rows = counts.where(enough).orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
+        contexts = _contexts(sample, {r.term for r in rows})
+        rows = [r for r in rows if contexts[r.term] >= max(MIN_TOXIC, MIN_CONTEXT_SHARE * r.toxic)]
         words = {r.term: (r.toxic, r.clean) for r in rows if not r.term.endswith("*")}
         found: dict[tuple[str, bool], float] = {}
         stems = sorted((r for r in rows if r.term.endswith("*")), key=lambda r: (len(r.term), r.term))
