@@ -25,6 +25,8 @@ MAX_TERMS = 2_000
 MIN_TOXIC, MIN_SHARE = 6, 0.9
 STEM_LENGTHS = range(4, 9)
 MIN_STEM_TOXIC, MIN_STEM_SHARE, MIN_STEM_WORDS = 6, 0.95, 3
+#: A stem is lengthened while it keeps this share of its toxic documents.
+STEM_KEEPS = 0.97
 #: Toxic documents must have a term after this many distinct words for each of them: words of copied documents stand after the same ones.
 MIN_CONTEXT_SHARE = 0.15
 #: Edits allowed from these term lengths on.
@@ -277,11 +279,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
         stems = sorted((r for r in rows if r.term.endswith("*")), key=lambda r: (len(r.term), r.term))
         taken: set[str] = set()
         under = Counter(w[:n] for w in words for n in STEM_LENGTHS if n < len(w))
-        for r in stems:
-            stem = r.term[:-1]
-            if r.toxic >= MIN_STEM_TOXIC and r.toxic >= MIN_STEM_SHARE * (r.toxic + r.clean) and under[stem] >= MIN_STEM_WORDS and not any(stem[:n] in taken for n in STEM_LENGTHS):
+        of_stem = {r.term[:-1]: (r.toxic, r.clean) for r in stems}
+        for stem in list(of_stem):
+            if any(stem[:n] in taken for n in STEM_LENGTHS):
+                continue
+            while longer := [x for x in of_stem if len(x) == len(stem) + 1 and x.startswith(stem) and of_stem[x][0] >= STEM_KEEPS * of_stem[stem][0]]:
+                stem = longer[0]  # as specific as it can be without losing documents
+            toxic, clean = of_stem[stem]
+            if stem not in taken and toxic >= MIN_STEM_TOXIC and toxic >= MIN_STEM_SHARE * (toxic + clean) and under[stem] >= MIN_STEM_WORDS:
                 taken.add(stem)
-                found[stem, True] = (r.toxic + 0.5) / (r.toxic + r.clean + 1)
+                found[stem, True] = (toxic + 0.5) / (toxic + clean + 1)
         for word, (toxic, clean) in words.items():
             if not any(word[:n] in taken for n in STEM_LENGTHS) and len(found) < MAX_TERMS:
                 found[word, False] = (toxic + 0.5) / (toxic + clean + 1)
