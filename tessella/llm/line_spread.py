@@ -60,8 +60,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int
     sketch: distinct counts can't exceed occurrences.
     """
     key = ["h1", "h2"]
-    often = lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= max(min_sites, min_contexts)).select(*key)
-    frequent = lines.join(often, key)
+    often = written(lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= max(min_sites, min_contexts)).select(*key), "often")
+    frequent = written(lines.join(often, key), "frequent-lines")  # nothing is aggregated in the join's stage, so a hot line's rows can be split
     estimate = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, LOG_K))
     sketched = written(
         frequent.groupBy(*key).agg(
@@ -79,7 +79,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int
     )
     worth = (F.col("n_sites") >= min_sites * (1 - NEAR)) & (F.col("n_contexts") >= min_contexts * (1 - NEAR)) & (F.col("n_contexts") >= share * (1 - NEAR) * F.col("n_docs"))
     doubtful = sketched.where(unsure & worth).select(*key)
-    rows = lines.join(doubtful, key)
+    rows = written(frequent.join(doubtful, key), "doubtful-lines")
 
     def exactly(column: str, name: str) -> DataFrame:
         """Distinct rows first, so that a frequent line is spread over many tasks."""
