@@ -5,10 +5,12 @@ Candidates from shared buckets are verified in steps: signatures are compared a
 and a pair is dropped as soon as the posterior probability that it is similar enough falls under
 the miss probability; survivors are confirmed on their full shingle sets.
 
-No bucket's pairs are all emitted. First each member meets its bucket's smallest one. Buckets that
-then still span several components are cut into blocks, and pairs of blocks are compared inside
-tasks, where only pairs across components count: those that are similar for sure are emitted as a
-forest, and, after these are settled, whatever remains.
+No bucket's pairs are all emitted. First each member meets its bucket's smallest one. What then
+still spans several components is cut into blocks, and pairs of blocks are compared inside tasks,
+where only pairs across components count, the likeliest first, and a pair whose components have
+been joined meanwhile needs no test; the links found come out as a forest. Buckets that overlap,
+as those of one family of copies do, are compared as one group, unless chance has chained buckets
+into a group far larger than any of them.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ PERCENT = 85
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 16
-#: The greatest posterior probability of similarity at which a pair is dropped, and the least at which it is sure.
-MISS, SURE = 1e-6, 0.99
-#: Members of a block of a bucket, about.
-BLOCK = 256
+#: The greatest posterior probability of similarity at which a pair is dropped.
+MISS = 1e-6
+#: Members of a block, about; and chained buckets form one group up to so many times the largest of them.
+BLOCK, CHAIN = 256, 3
 KEPT_WORDS = 400_000
 
 _RNG = np.random.default_rng(20240229)
@@ -93,7 +95,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set hash (s1, s2), signature (16 bits a hash) and band keys; empty texts have no set hash."""
+    """doc_id, n_shingles, set hash (s1, s2) and band keys; empty texts have no set hash."""
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
         import xxhash
@@ -102,40 +104,39 @@ def signatures(docs: DataFrame) -> DataFrame:
         for doc_id, text in rows:
             own = shingle_hashes(words_of(text), hashes)
             if not len(own):
-                yield doc_id, 0, None, None, None, None
+                yield doc_id, 0, None, None, None
                 continue
             digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
             sig = signature(own)
-            yield doc_id, len(own), int(digest[0]), int(digest[1]), sig.astype("<u2").tobytes(), band_keys(sig).tolist()
+            yield doc_id, len(own), int(digest[0]), int(digest[1]), band_keys(sig).tolist()
 
-    return per_row(docs, ["doc_id", "text"], "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>", run)
+    return per_row(docs, ["doc_id", "text"], "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>", run)
 
 
 @lru_cache(maxsize=4)
-def posterior_limits(percent: int, miss: float, sure: float) -> tuple[list[int], list[int]]:
-    """After each batch, the fewest matches that keep a pair, and the fewest that make it sure.
+def posterior_limits(percent: int, miss: float) -> list[int]:
+    """After each batch, the fewest matches that keep a pair.
 
     Under a uniform prior, similarity after m of n matches is Beta(m + 1, n - m + 1), and the
     chance that it reaches t is that of at most m successes in n + 1 trials at t.
     """
     t = percent / 100
-    keep, safe = [], []
+    keep = []
     for n in range(BATCH, HASHES + 1, BATCH):
-        tail, below = 0.0, []
+        tail = 0.0
         for m in range(n + 1):
             tail += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            below.append(tail)
-        keep.append(next(m for m in range(n + 1) if below[m] >= miss))
-        safe.append(next((m for m in range(n + 1) if below[m] >= sure), n + 1))
-    return keep, safe
+            if tail >= miss:
+                keep.append(m)
+                break
+    return keep
 
 
 def surviving(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
     """Rows of two signature tables that no batch drops, and their matches."""
-    keep, _ = posterior_limits(percent, miss, SURE)
     rows = np.arange(len(a))
     matches = np.zeros(len(a), np.int64)
-    for step, least in enumerate(keep):
+    for step, least in enumerate(posterior_limits(percent, miss)):
         part = slice(step * BATCH, (step + 1) * BATCH)
         matches = matches + (a[rows, part] == b[rows, part]).sum(1)
         stay = matches >= least
@@ -145,41 +146,39 @@ def surviving(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, miss: float
     return rows, matches
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two full sets, as sorted hashes, share enough."""
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
 def _table(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, HASHES)
 
 
-def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures survive the sequential test."""
-    sig = nodes.select("rep", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-
-    def run(batches):
-        import pyarrow as pa
+def full_sets(texts: DataFrame) -> DataFrame:
+    """rep, n_shingles, sig, hashes (the full set, sorted) of texts (doc_id, text)."""
 
-        for x in batches:
-            if x.num_rows:
-                rows, _ = surviving(_table(x.column(2).to_pylist()), _table(x.column(3).to_pylist()))
-                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(rows)), x.column(1).take(pa.array(rows))], ["a", "b"])
+    def run(rows: Iterator[tuple]) -> Iterable[tuple]:
+        hashes = WordHashes()
+        for doc_id, text in rows:
+            own = shingle_hashes(words_of(text), hashes)
+            yield doc_id, len(own), signature(own).astype("<u2").tobytes(), own.astype("<u8").tobytes()
 
-    return both.mapInArrow(run, "a long, b long")
+    return per_row(texts, ["doc_id", "text"], "rep long, n_shingles long, sig binary, hashes binary", run)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures survive the sequential test and whose full sets are similar enough."""
+    own = full.select("rep", "sig", "hashes")
+    both = pairs.join(own.toDF("a", "sig_a", "set_a"), "a").join(own.toDF("b", "sig_b", "set_b"), "b")
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        last: tuple[int | None, set] = (None, set())
-        for a, b, text_a, text_b in rows:
-            if last[0] != a:
-                last = (a, shingles(words_of(text_a)))
-            one, two = last[1], shingles(words_of(text_b))
-            shared = len(one & two)
-            if 100 * shared >= PERCENT * (len(one) + len(two) - shared):
+        for a, b, sig_a, sig_b, set_a, set_b in rows:
+            if len(surviving(_table([sig_a]), _table([sig_b]))[0]) and similar(np.frombuffer(set_a, "<u8"), np.frombuffer(set_b, "<u8")):
                 yield a, b
 
-    return per_row(both, ["a", "b", "text_a", "text_b"], "a long, b long", run)
+    return per_row(both, ["a", "b", "sig_a", "sig_b", "set_a", "set_b"], "a long, b long", run)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,65 +209,61 @@ def _similar_sizes(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that span several components, with their component; one bucket of each set of alike ones."""
+def _open_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """key, rep, component, n_members of the groups that span several components."""
     of = components(links)
-    labelled = members.join(of, members.rep == of.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = labelled.groupBy("key").agg(F.count("*").alias("n_members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    one = open_.groupBy("print", "n_members", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n_members")
-    return labelled.join(one, "key")
-
-
-def across(labelled: DataFrame, nodes: DataFrame, sure_only: bool) -> DataFrame:
-    """Pairs across components that survive the sequential test, found block against block inside tasks.
-
-    With ``sure_only``, only pairs that are similar at the SURE level, and of these a forest over each
-    pair of blocks' components.
-    """
+    labelled = written(members.join(of, members.rep == of.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
+    spans = [F.count("*").alias("n_members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")]
+    buckets = written(labelled.join(labelled.groupBy("key").agg(*spans).where("lo <> hi").drop("lo", "hi"), "key"), "open-buckets")
+    chained = components(buckets.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    grouped = buckets.join(chained.select(F.col("node").alias("rep"), F.col("component").alias("chain")), "rep")
+    sizes = grouped.groupBy("chain").agg(F.max("n_members").alias("most")).join(chained.groupBy(F.col("component").alias("chain")).agg(F.count("*").alias("n_chain")), "chain")
+    sizes = written(sizes, "chains")  # a large chain's rows then meet its size without being dealt to one task
+    judged = grouped.join(sizes, "chain").withColumn("as_one", F.col("n_chain") <= CHAIN * F.col("most"))
+    one = judged.where("as_one").select(F.concat(F.lit("c"), "chain").alias("key"), "rep", "component", F.col("n_chain").alias("n_members")).distinct()
+    return one.unionByName(judged.where("NOT as_one").select(F.concat(F.lit("b"), "key").alias("key"), "rep", "component", "n_members"))
+
+
+def across(groups: DataFrame, full: DataFrame) -> DataFrame:
+    """Links across components within the groups, found block against block inside tasks, as a forest over each pair of blocks."""
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     spread = (
-        labelled.withColumn("blocks", blocks)
-        .withColumn("chunk", chunk.cast("int"))
+        groups.withColumn("blocks", blocks)
+        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep", "component")
     )
-    rows = spread.join(nodes.select("rep", "n_shingles", "sig"), "rep")
-    _, safe = posterior_limits(PERCENT, MISS, SURE)
+    rows = spread.join(full, "rep")
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("rep", ignore_index=True)
         rep, comp, size, part = (pdf[c].to_numpy() for c in ("rep", "component", "n_shingles", "chunk"))
-        sig = _table(pdf["sig"])
+        sig, sets = _table(pdf["sig"]), [np.frombuffer(h, "<u8") for h in pdf["hashes"]]
         lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        got: list[tuple[int, int, int]] = []
-        for i in range(len(rep)):
-            if part[i] != lo:
-                continue
-            js = np.flatnonzero((part == hi) & (comp != comp[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])))
-            if lo == hi:
-                js = js[js > i]
+        right = np.flatnonzero(part == hi)
+        found: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(part == lo).tolist():
+            js = right[right > i] if lo == hi else right
+            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= PERCENT * np.maximum(size[js], size[i]))]
             if len(js):
-                rows, matches = surviving(np.broadcast_to(sig[i], (len(js), HASHES)), sig[js])
-                got += [(int(m), i, int(js[r])) for r, m in zip(rows, matches, strict=True) if not sure_only or m >= safe[-1]]
-        if sure_only:
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
-            forest = []
-            for m, i, j in sorted(got, key=lambda g: (-g[0], g[1], g[2])):
-                a, b = find(int(comp[i])), find(int(comp[j]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    forest.append((m, i, j))
-            got = forest
-        return pd.DataFrame({"a": [min(rep[i], rep[j]) for _, i, j in got], "b": [max(rep[i], rep[j]) for _, i, j in got]}, dtype="int64")
+                kept, matches = surviving(np.broadcast_to(sig[i], (len(js), HASHES)), sig[js])
+                found += zip((-matches).tolist(), [i] * len(kept), js[kept].tolist(), strict=True)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        forest = []
+        for _, i, j in sorted(found):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b and similar(sets[i], sets[j]):
+                root[max(a, b)] = min(a, b)
+                forest.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pd.DataFrame(forest, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
@@ -282,21 +277,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sigs = written(signatures(docs), "signatures")
     sets = sigs.where("n_shingles > 0")
-    classes = sets.where("doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = written(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     same = sets.join(classes, ["s1", "s2"])
-    nodes = written(same.where("doc_id = rep").select("rep", "n_shingles", "sig", "bands"), "nodes")
+    nodes = written(same.where("doc_id = rep").select("rep", "n_shingles", "bands"), "nodes")
     banded = nodes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("n > 1")
     members = written(banded.join(shared, "key").select("key", "rep", "n_shingles", F.col("first.rep").alias("center"), F.col("first.n_shingles").alias("n_center")), "members")
-    texts = written(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    few = written(nodes.select("rep", "n_shingles", "sig").join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "candidate-signatures")
+    texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    full = written(full_sets(texts), "full-sets")
 
     star = members.where("rep <> center").where(_similar_sizes(F.col("n_shingles"), F.col("n_center"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirm(prune(star, few), texts), "links")
-    buckets = members.select("key", "rep")
-    for sure_only in (True, False):
-        more = across(_labelled(buckets, links), few, sure_only)
-        links = written(links.unionByName(confirm(more, texts)).distinct(), "links")
+    links = written(verify(star, full), "links")
+    groups = _open_groups(members.select("key", "rep"), links)
+    links = written(links.unionByName(across(groups, full)).distinct(), "links")
     of = components(links)
     member_of = same.select("doc_id", "n_shingles", "rep").join(of, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
