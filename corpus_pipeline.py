@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tessella.llm import bayes_minhash, bin_slack, line_spread, surrogates, toxicity
 from tessella.llm._common import documents, written
 
+#: From this Jaccard similarity of word shingles on, in per cent, documents are near copies.
+NEAR_PERCENT = 80
+
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """With n_chars counted anew, where there is such a column."""
@@ -35,7 +38,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id. Rows without doc_id stay."""
-    gone = bayes_minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
+    gone = bayes_minhash.near_duplicates(docs, NEAR_PERCENT).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
     return docs.join(written(gone, "copies"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -27,11 +27,9 @@ from ._common import documents, per_row, written
 
 WORDS = 5
 PERCENT = 85
-#: A pair at the threshold shares no band with probability (1 - 0.85 ** ROWS) ** BANDS = 2.6e-7.
-BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+HASHES = 192
 BATCH = 16
-#: The greatest posterior probability of similarity at which a pair is dropped.
+#: The greatest posterior probability of similarity at which a pair is dropped, and of sharing no band at the threshold.
 MISS = 1e-6
 #: Members of a block, about; and chained buckets form one group up to so many times the largest of them.
 BLOCK, CHAIN = 256, 3
@@ -87,14 +85,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX
-    for col in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
+def shares_no_band(percent: int, bands: int, rows: int) -> float:
+    """The probability that a pair at the threshold meets in no bucket."""
+    return (1 - (percent / 100) ** rows) ** bands
+
+
+@lru_cache(maxsize=4)
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows: the longest bands that miss a pair at the threshold with at most MISS; 32 of 6 at 85 (2.6e-7), 38 of 5 at 80 (2.8e-7)."""
+    return next((HASHES // rows, rows) for rows in range(HASHES, 0, -1) if rows == 1 or shares_no_band(percent, HASHES // rows, rows) <= MISS)
+
+
+def band_keys(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    bands, rows = bands_for(percent)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * MIX
+    for col in sig[: bands * rows].reshape(bands, rows).T.astype(np.uint64):
         key = (key ^ (key >> np.uint64(31)) ^ col) * MIX
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set hash (s1, s2) and band keys; empty texts have no set hash."""
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
@@ -108,7 +118,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 continue
             digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
             sig = signature(own)
-            yield doc_id, len(own), int(digest[0]), int(digest[1]), band_keys(sig).tolist()
+            yield doc_id, len(own), int(digest[0]), int(digest[1]), band_keys(sig, percent).tolist()
 
     return per_row(docs, ["doc_id", "text"], "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>", run)
 
@@ -168,14 +178,14 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return per_row(texts, ["doc_id", "text"], "rep long, n_shingles long, sig binary, hashes binary", run)
 
 
-def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose signatures survive the sequential test and whose full sets are similar enough."""
     own = full.select("rep", "sig", "hashes")
     both = pairs.join(own.toDF("a", "sig_a", "set_a"), "a").join(own.toDF("b", "sig_b", "set_b"), "b")
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
         for a, b, sig_a, sig_b, set_a, set_b in rows:
-            if len(surviving(_table([sig_a]), _table([sig_b]))[0]) and similar(np.frombuffer(set_a, "<u8"), np.frombuffer(set_b, "<u8")):
+            if len(surviving(_table([sig_a]), _table([sig_b]), percent)[0]) and similar(np.frombuffer(set_a, "<u8"), np.frombuffer(set_b, "<u8"), percent):
                 yield a, b
 
     return per_row(both, ["a", "b", "sig_a", "sig_b", "set_a", "set_b"], "a long, b long", run)
@@ -205,8 +215,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _similar_sizes(a, b):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _similar_sizes(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _open_groups(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,7 +234,7 @@ def _open_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     return one.unionByName(judged.where("NOT as_one").select(F.concat(F.lit("b"), "key").alias("key"), "rep", "component", "n_members"))
 
 
-def across(groups: DataFrame, full: DataFrame) -> DataFrame:
+def across(groups: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links across components within the groups, found block against block inside tasks, as a forest over each pair of blocks."""
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     spread = (
@@ -246,9 +256,9 @@ def across(groups: DataFrame, full: DataFrame) -> DataFrame:
         found: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(part == lo).tolist():
             js = right[right > i] if lo == hi else right
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= PERCENT * np.maximum(size[js], size[i]))]
+            js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
             if len(js):
-                kept, matches = surviving(np.broadcast_to(sig[i], (len(js), HASHES)), sig[js])
+                kept, matches = surviving(np.broadcast_to(sig[i], (len(js), HASHES)), sig[js], percent)
                 found += zip((-matches).tolist(), [i] * len(kept), js[kept].tolist(), strict=True)
         root: dict[int, int] = {}
 
@@ -260,7 +270,7 @@ def across(groups: DataFrame, full: DataFrame) -> DataFrame:
         forest = []
         for _, i, j in sorted(found):
             a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and similar(sets[i], sets[j]):
+            if a != b and similar(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
                 forest.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         return pd.DataFrame(forest, columns=["a", "b"], dtype="int64")
@@ -268,14 +278,16 @@ def across(groups: DataFrame, full: DataFrame) -> DataFrame:
     return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept.
 
+    Texts whose full sets have a Jaccard similarity of at least ``percent`` per cent are linked.
+
     ``docs`` needs doc_id and text. Null and empty texts, and texts without words, have no
     shingles, link with nothing and are kept. Rows of one doc_id count as one document; a row
     without doc_id belongs to its class and is not kept. Other columns are left out.
     """
-    sigs = written(signatures(docs), "signatures")
+    sigs = written(signatures(docs, percent), "signatures")
     sets = sigs.where("n_shingles > 0")
     classes = written(sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     same = sets.join(classes, ["s1", "s2"])
@@ -286,10 +298,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     full = written(full_sets(texts), "full-sets")
 
-    star = members.where("rep <> center").where(_similar_sizes(F.col("n_shingles"), F.col("n_center"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(verify(star, full), "links")
+    star = members.where("rep <> center").where(_similar_sizes(F.col("n_shingles"), F.col("n_center"), percent)).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    links = written(verify(star, full, percent), "links")
     groups = _open_groups(members.select("key", "rep"), links)
-    links = written(links.unionByName(across(groups, full)).distinct(), "links")
+    links = written(links.unionByName(across(groups, full, percent)).distinct(), "links")
     of = components(links)
     member_of = same.select("doc_id", "n_shingles", "rep").join(of, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
