@@ -2,8 +2,9 @@
 
 A text that repeats itself compresses far better than prose of its length, and noise compresses
 far worse. Both ends are rejected, with limits by length, since a short text never compresses
-much. The whole document is judged, and every fixed chunk of it, so a repetitive or random
-stretch in a long document shows although the whole looks normal.
+much. The whole document is judged, and every fixed chunk of it from the first to its end (the
+last chunk ends where the text ends), so a repetitive or random stretch in a longer document
+shows although the whole looks normal.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from ._common import documents, per_row, utf8
 
 LEVEL = 3
 CHUNK_BYTES = 4096
-#: At most this share of the chunks may lie outside the band.
-MAX_BAD_CHUNKS = 0.34
+#: At most this share of the chunks may lie outside the band. None: on sf0.1, chunks of all 560 long texts labelled
+#: good have ratios from 2.07 to 2.26, those of the 23 labelled bad for repetition 34 and more.
+MAX_BAD_CHUNKS = 0.0
 #: From a length in bytes on: the least and the greatest ratio (bytes over compressed bytes).
 BANDS = (
     (0, 0.0, math.inf),
@@ -102,14 +104,12 @@ def band_verdict(raw: bytes, compress, bands=BANDS, chunk: int = CHUNK_BYTES, ma
     ratio = n / len(compress(raw))
     lo, hi = limits(n, bands)
     whole = "repetitive" if ratio > hi else "incompressible" if ratio < lo else "kept"
-    n_chunks, bad = n // chunk, 0
-    if n >= 2 * chunk:
-        lo, hi = limits(chunk, bands)
-        for k in range(n_chunks):
-            r = chunk / len(compress(raw[k * chunk : (k + 1) * chunk]))
-            bad += not lo <= r <= hi
-    else:
-        n_chunks = 0
+    ends = [*range(chunk, n + 1, chunk), *([n] if n > chunk and n % chunk else [])]
+    n_chunks, bad = len(ends), 0
+    lo, hi = limits(chunk, bands)
+    for end in ends:
+        r = chunk / len(compress(raw[end - chunk : end]))
+        bad += not lo <= r <= hi
     if whole == "kept" and n_chunks and bad > max_bad * n_chunks:
         whole = "chunks"
     return whole, ratio, n_chunks, bad
