@@ -22,16 +22,24 @@ from ._common import documents, written
 KEY = "tessella"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z-])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+_LOCAL_PHONE = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+#: A number of the North American plan has ten digits after +1; others end before an entity that begins there.
+_PLAN_PHONE = r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
+_GROUP = r"[ .-]?\(?[0-9]{2,4}\)?"
+_FREE_PHONE = rf"\+[0-9]{{1,3}}{_GROUP}(?![ -]{_IP}){_GROUP}(?:(?![ -](?:{_IP}|{_CARD}(?! ?[0-9])|{_SSN}|{_LOCAL_PHONE}(?![0-9A-Za-z]))){_GROUP}){{0,2}}"
 #: Type and pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
     "secret": r"(?<=(?i:password|passwd|secret|token|api_key) ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{8,}",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z.+-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z-])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])",
+    "ip": rf"(?<![0-9.]){_IP}",
+    "card": rf"(?<![0-9A-Za-z.+-]){_CARD}",
+    "ssn": rf"(?<![0-9A-Za-z-]){_SSN}",
+    "phone": rf"(?<![0-9A-Za-z+])(?:{_PLAN_PHONE}|{_FREE_PHONE}|{_LOCAL_PHONE})(?![0-9A-Za-z])",
     "name": r"(?<!\p{L})(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Mme|Sra|Sr|Г-жа|Г-н)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(PATTERNS.values())
