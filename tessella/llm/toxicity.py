@@ -147,10 +147,10 @@ class Lexicon:
 
 
 def kind_of(edits: int, token: str, term: str, stem: bool) -> str:
-    """How a token differs from its term: 'exact', or fuzzy by its length."""
+    """How a token differs from its term: 'exact', or fuzzy by its length and edits."""
     if not edits:
         return "exact"
-    return "stem" if stem else "longer" if len(token) > len(term) else "shorter" if len(token) < len(term) else "alike"
+    return f"stem{edits}" if stem else f"longer{edits}" if len(token) > len(term) else f"shorter{edits}" if len(token) < len(term) else f"alike{edits}"
 
 
 class Matcher(dict):
@@ -205,12 +205,23 @@ def score_text(text: str | None, matcher: Matcher, fuzzy: dict[tuple[int, str],
     return 1 - clean, hits, n_fuzzy, quoted
 
 
-#: The weight of a misspelling that no labelled document has: it nears the greatest as clean documents were seen without it.
-UNSEEN, UNSEEN_LEAST, UNSEEN_DOCS = 0.75, 0.5, 2_000
+#: Labelled documents that a misspelling's prior weight counts as.
+PRIOR_DOCS = 2
 
 
-def unseen(n_clean: int) -> float:
-    return UNSEEN_LEAST + (UNSEEN - UNSEEN_LEAST) * min(1.0, n_clean / UNSEEN_DOCS)
+def unseen(weight: float, length: int, edits: int) -> float:
+    """The weight of a misspelling that no labelled document has: its term's, for the share of the letters that stand."""
+    return weight * (1 - edits / length)
+
+
+def priors(terms: dict[tuple[str, bool], float]) -> dict[tuple[int, str], float]:
+    """The weights of all unseen misspellings by (term, kind), whatever the number of labels."""
+    return {
+        (k, f"{kind}{edits}"): unseen(terms[text, stem], len(text), edits)
+        for k, (text, stem) in enumerate(sorted(terms))
+        for edits in range(1, edits_for(len(text)) + 1)
+        for kind in (("stem",) if stem else ("longer", "shorter", "alike"))
+    }
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -265,7 +276,8 @@ def _contexts(sample: DataFrame, wanted: set[str]) -> dict[str, int]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[tuple[str, bool], float], dict[tuple[int, str], float]]:
     """The lexicon's terms with weights, and the weights of misspellings by (term, kind); (-1, "") has any other's.
 
-    Without toxic documents among the labelled rows, both are empty and every score is 0.
+    Clean labelled documents with a term's misspelling lower its weight, toxic ones raise it.
+    Without toxic documents among the labelled rows, there are no terms and every score is 0.
     """
     sample = training_sample(docs, labels, "toxic", max_rows).repartition(24).persist()
     try:
@@ -293,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
             if not any(word[:n] in taken for n in STEM_LENGTHS) and len(found) < MAX_TERMS:
                 found[word, False] = (toxic + 0.5) / (toxic + clean + 1)
         if not found:
-            return {}, {(-1, ""): UNSEEN_LEAST}
+            return {}, {(-1, ""): 0.0}
 
         held: list[Matcher] = []
 
@@ -303,11 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
             hits = {h for h in map(held[0].__getitem__, set(TOKEN.findall((text or "").lower()))) if h}
             return set() if any(kind == "exact" for _, kind in hits) else {f"{term} {kind}" for term, kind in hits}
 
-        prior = unseen(sample.where("label = 0").count())
-        fuzzy = {(-1, ""): prior}
-        for r in _counted(sample, misspelt).collect():  # at most four kinds a term
+        fuzzy = {(-1, ""): 0.0, **priors(found)}
+        for r in _counted(sample, misspelt).collect():  # at most six kinds a term
             term, kind = r.term.split()
-            fuzzy[int(term), kind] = (r.toxic + 2 * prior) / (r.toxic + r.clean + 2)
+            prior = fuzzy[int(term), kind]
+            fuzzy[int(term), kind] = (r.toxic + PRIOR_DOCS * prior) / (r.toxic + r.clean + PRIOR_DOCS)
         return found, fuzzy
     finally:
         sample.unpersist()
