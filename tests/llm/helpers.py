@@ -79,6 +79,17 @@ def family(rng, n, size=120, edits=6):
     return out
 
 
+def is_entity(match):
+    """False for numbers in a card's form that no issuer gives: of another first digit, or that fail Luhn's check."""
+    digits = "".join(c for c in match if c.isdigit())
+    if set(match) - set("0123456789 -") or len(digits) not in (15, 16):
+        return True
+    total = sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, digits[::-1])))
+    head = int(digits[:4])
+    issued = digits[0] == "4" or 5100 <= head <= 5599 or 2221 <= head <= 2720 or 3528 <= head <= 3589 or head // 100 in (34, 37, 62, 65) and (head // 100 != 62 or head // 10 == 622) or head == 6011 or 6440 <= head <= 6499
+    return issued and total % 10 == 0
+
+
 def edge_rows():
     """Nulls in every column, empty and very long texts, repeated rows, ties."""
     long = prose(random.Random(1), 30_000)

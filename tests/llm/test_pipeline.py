@@ -64,8 +64,10 @@ def test_personal_data_goes(stages):
     before, after = ({r.doc_id: r.text for r in stages[k][1]} for k in (3, 4))
     assert before.keys() == after.keys()
     for i, t in before.items():
-        found = [m.group() for m in regex.finditer(surrogates.ANY, t)]
+        matches = [m.group() for m in regex.finditer(surrogates.ANY, t)]
+        found = [f for f in matches if helpers.is_entity(f)]
         assert not [f for f in found if f in after[i]]
+        assert all(f in after[i] for f in matches if not helpers.is_entity(f))  # numbers that only look like cards
         if not found:
             assert after[i] == t
 
