@@ -10,6 +10,7 @@ little where its context window quotes it: quotation marks around it, or a repor
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -20,8 +21,6 @@ from ._common import bound_batches, documents, held_out, held_out_col, per_row
 
 #: Labelled rows that the lexicon is learnt from, at most; taken by a hash of doc_id.
 MAX_ROWS = 12_000
-#: Terms that the lexicon holds, at most; those with most toxic documents stay.
-MAX_TERMS = 2_000
 MIN_TOXIC, MIN_SHARE = 6, 0.9
 STEM_LENGTHS = range(4, 9)
 MIN_STEM_TOXIC, MIN_STEM_SHARE, MIN_STEM_WORDS = 6, 0.95, 3
@@ -38,7 +37,8 @@ KEPT_TOKENS = 300_000
 
 TOKEN = re.compile(r"\w[\w@$]*\w|\w")
 LEET = str.maketrans("013457@$", "oieastas")
-OPENING, CLOSING = "\"'“„«‘‚‹", "\"'”“»’‘›"
+#: Single marks quote only the word right between them, as they are apostrophes too.
+OPENING, CLOSING = "'‘‚‹", "'’‘›"
 #: Words that report speech, in the corpus' languages.
 REPORTING = frozenset("said says called quote quoted quoting wrote term word phrase sagte nannte zitat zitiert wort begriff dit appelé cité citation mot terme dijo llamó citado cita palabra término".split())
 
@@ -171,27 +171,64 @@ class Matcher(dict):
         return out
 
 
-def context_factor(text: str, start: int, end: int, near: list[str]) -> float:
+QUOTE = re.compile("[\"“„”«»\n]")
+
+
+class Quotations:
+    """Where a text's quotations are, line by line, from one pass over its marks."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at: list[int] = []
+        self.open: list[bool] = []
+        #: Whether a closing mark comes in the same line, from this mark on.
+        self.closing: list[bool] = []
+        plain = low = high = angle = 0
+        for m in QUOTE.finditer(text):
+            c = m.group()
+            if c == "\n":
+                plain = low = high = angle = 0
+            elif c == '"':
+                plain ^= 1
+            elif c == "„":
+                low += 1
+            elif c == "“":  # ends a quotation that began low, else begins one
+                low, high = (low - 1, high) if low else (low, high + 1)
+            elif c == "”":
+                low, high = (low, high - 1) if high else (max(0, low - 1), high)
+            else:
+                angle = max(0, angle + (1 if c == "«" else -1))
+            self.at.append(m.start())
+            self.open.append(bool(plain or low or high or angle))
+            self.closing.append(c in '"“”»')
+        for k in range(len(self.at) - 2, -1, -1):
+            self.closing[k] = self.closing[k] or text[self.at[k]] != "\n" and self.closing[k + 1]
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether a place is quoted: by single marks right beside it, or in a quotation of its line that began before and ends after it."""
+        text, a, b = self.text, start, end
+        while a and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        if a and b < len(text) and text[a - 1] in OPENING and text[b] in CLOSING:
+            return True
+        before, after = bisect_left(self.at, start) - 1, bisect_left(self.at, end)
+        return before >= 0 and self.open[before] and after < len(self.at) and self.closing[after]
+
+
+def context_factor(quotations: Quotations, start: int, end: int, near: list[str]) -> float:
     """1 for plain use; less inside quotation marks, or beside a word that reports speech."""
-    before, after = text[:start].rstrip(), text[end:].lstrip()
-    opened = before[-1:] in OPENING and before != "" or _odd_quotes(text, start)
-    closed = after[:1] in CLOSING and after != "" or opened and any(c in CLOSING for c in text[end : end + 80])
-    factor = QUOTED if opened and closed else 1.0
+    factor = QUOTED if quotations.around(start, end) else 1.0
     return factor * REPORTED if any(w in REPORTING for w in near) else factor
 
 
-def _odd_quotes(text: str, at: int) -> bool:
-    """Whether the line so far has opened a quotation and not ended it."""
-    line = text[text.rfind("\n", 0, at) + 1 : at]
-    return line.count('"') % 2 == 1 or line.count("“") + line.count("„") > line.count("”") or line.count("«") > line.count("»")
-
-
 def score_text(text: str | None, matcher: Matcher, fuzzy: dict[tuple[int, str], float]) -> tuple[float, int, int, int]:
     """Score, hits, fuzzy hits, quoted hits of a whole text; null and empty texts score 0."""
     low = (text or "").lower()
     if not any(map(matcher.__getitem__, set(TOKEN.findall(low)))):
         return 0.0, 0, 0, 0
-    tokens = list(TOKEN.finditer(low))
+    tokens, quotations = list(TOKEN.finditer(low)), Quotations(low)
     clean, hits, n_fuzzy, quoted = 1.0, 0, 0, 0
     for i, m in enumerate(tokens):
         hit = matcher[m.group()]
@@ -199,7 +236,7 @@ def score_text(text: str | None, matcher: Matcher, fuzzy: dict[tuple[int, str],
             continue
         term, kind = hit
         p = matcher.lexicon.weights[term] if kind == "exact" else fuzzy.get((term, kind), fuzzy[-1, ""])
-        factor = context_factor(low, m.start(), m.end(), [t.group() for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]])
+        factor = context_factor(quotations, m.start(), m.end(), [t.group() for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]])
         hits, n_fuzzy, quoted = hits + 1, n_fuzzy + (kind != "exact"), quoted + (factor < 1)
         clean = min(clean, 1 - p * factor)  # the plainest hit decides: many quotations stay quotations
     return 1 - clean, hits, n_fuzzy, quoted
@@ -225,8 +262,8 @@ def priors(terms: dict[tuple[str, bool], float]) -> dict[tuple[int, str], float]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Texts and labels of at most ``max_rows`` labelled rows that aren't held out, by a hash of doc_id."""
-    ids = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_col("doc_id")).dropDuplicates(["doc_id"])
+    """Texts and labels of at most ``max_rows`` labelled rows that aren't held out, by a hash of doc_id. Of several labels, the greatest holds."""
+    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out_col("doc_id")).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # ids and labels alone, so at most 16 bytes a row
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")
 
@@ -253,7 +290,7 @@ def _counted(sample: DataFrame, terms_of) -> DataFrame:
 
 
 def _terms(text: str | None) -> set[str]:
-    words = {w for w in TOKEN.findall((text or "").lower()) if w.isalpha() and 3 <= len(w) <= 40}
+    words = {w for w in TOKEN.findall((text or "").lower()) if w.isalpha()}
     return words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if n < len(w)}
 
 
@@ -283,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
     try:
         counts = _counted(sample, _terms)
         enough = (F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean")))
-        rows = counts.where(enough).orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
+        rows = counts.where(enough).orderBy(F.desc("toxic"), "term").collect()  # terms of at most max_rows texts
         contexts = _contexts(sample, {r.term for r in rows})
         rows = [r for r in rows if contexts[r.term] >= max(MIN_TOXIC, MIN_CONTEXT_SHARE * r.toxic)]
         words = {r.term: (r.toxic, r.clean) for r in rows if not r.term.endswith("*")}
@@ -302,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[d
                 taken.add(stem)
                 found[stem, True] = (toxic + 0.5) / (toxic + clean + 1)
         for word, (toxic, clean) in words.items():
-            if not any(word[:n] in taken for n in STEM_LENGTHS) and len(found) < MAX_TERMS:
+            if not any(word[:n] in taken for n in STEM_LENGTHS):
                 found[word, False] = (toxic + 0.5) / (toxic + clean + 1)
         if not found:
             return {}, {(-1, ""): 0.0}
@@ -329,7 +366,7 @@ def score(docs: DataFrame, terms: dict, fuzzy: dict, threshold: float = THRESHOL
     """Score and verdict for every document; ``docs`` needs doc_id and text.
 
     Null and empty texts score 0. Repeated rows are scored each. Other columns are left out. The
-    lexicon travels with the task: at most MAX_TERMS terms.
+    lexicon travels with the task: its terms come from at most MAX_ROWS texts.
     """
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
