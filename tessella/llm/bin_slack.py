@@ -23,6 +23,8 @@ from .pretokens import Segments, default_vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
+#: Fixed value: the vocabulary's added token, whose string in a text is that token.
+ADDED = {"<|endoftext|>": 50256}
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -108,13 +110,23 @@ class Places:
         return bins, offsets
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def ids_of(text: str, segments: Segments, added: dict[str, int]) -> bytes:
+    """Ids of a whole text; it is cut at added tokens first, and what stands between them is encoded alone."""
+    for token, number in added.items():
+        if token in text:
+            rest = {k: v for k, v in added.items() if k != token}
+            return number.to_bytes(4, "little").join(ids_of(part, segments, rest) for part in text.split(token))
+    return segments.ids(text)
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """Token pieces of every document: its ids, then the separator; only longer ones are cut, the first piece taking the rest.
 
-    Null and empty texts are the separator alone. ``part`` and ``nth`` number the pieces of a
+    ``added`` tokens are those of the default vocabulary unless given. Null and empty texts are the separator alone. ``part`` and ``nth`` number the pieces of a
     length within the task that made them, so they hold for one written copy of the result.
     """
     own_path, own_pattern = default_vocabulary()
+    added = (ADDED if path is None else {}) if added is None else added
     path, pattern = path or own_path, pattern or own_pattern
     end = SEPARATOR.to_bytes(4, "little")
 
@@ -122,7 +134,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, p
         segments, seen = Segments(path, pattern), {}
         part = TaskContext.get().partitionId()
         for doc_id, text in rows:
-            ids = segments.ids(text or "") + end
+            ids = ids_of(text or "", segments, added) + end
             n = len(ids) // 4
             size = (n - 1) % capacity + 1
             start = piece = 0
