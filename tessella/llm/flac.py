@@ -30,8 +30,9 @@ LPC_ORDER = 6
 LPC_PRECISION = 10
 MAX_RICE = 10
 PAD = 64
-#: Bytes of payload that are coded together.
+#: Bytes of payload that are coded together, about, and frames that are coded or decoded in lockstep, at most: a long stream is worked off in parts.
 TOGETHER = 2 << 20
+FRAMES = 4096
 
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -221,7 +222,7 @@ def encode_streams(payloads: list[bytes], rate: int = RATE) -> list[bytes]:
         for b in range(0, len(p), BLOCK):
             by_len.setdefault(min(BLOCK, len(p) - b), []).append((i, b // BLOCK))
     frames: dict[tuple[int, int], bytes] = {}
-    for n, keys in by_len.items():
+    for n, keys in ((n, keys[k : k + FRAMES]) for n, keys in by_len.items() for k in range(0, len(keys), FRAMES)):
         x = np.frombuffer(b"".join(payloads[i][b * BLOCK : b * BLOCK + n] for i, b in keys), np.uint8)
         x = (x ^ 0x80).view(np.int8).reshape(-1, n)
         frames.update(zip(keys, _code_frames(x, [b for _, b in keys]), strict=True))
@@ -447,69 +448,108 @@ def _search(raw: bytes, at: int, bps: int) -> list[int]:
     return places
 
 
+def _decode_frames(joined: np.ndarray, frames: list[tuple]) -> dict[int, np.ndarray]:
+    """Samples [channels, n] by frame number; ``frames`` are (samples, frame number, place, end, header bytes, channel code, bits per sample)."""
+    base = min(f[2] for f in frames)
+    joined = joined[base : max(f[3] for f in frames)]
+    n, idx, place, end, size, chan, bps = (np.array(c, np.int64) for c in zip(*sorted(frames, key=lambda f: -f[0]), strict=True))
+    place, end = place - base, end - base
+    crc = _crc(_right_aligned(joined, place, end - place - 2), CRC16, 16)
+    if (crc != joined[end - 2].astype(np.uint32) << np.uint32(8) | joined[end - 1]).any():
+        raise FlacError("a frame fails its check sum")
+    if (chan > 10).any():
+        raise FlacError("a frame of a reserved channel code")
+    bits = _Bits(joined)
+    at = 8 * (place + size)
+    n_chan = np.where(chan < 8, chan + 1, 2)
+    got = []
+    for c in range(int(n_chan.max())):
+        on = np.flatnonzero(n_chan > c)
+        side = ((chan == 8) & (c == 1)) | ((chan == 9) & (c == 0)) | ((chan == 10) & (c == 1))
+        x, at[on] = _subframes(bits, at[on], n[on], bps[on] + side[on])
+        full = np.zeros((int(n[0]), len(n)), np.int64)
+        full[: len(x), on] = x
+        got.append(full)
+    if ((at + 7) // 8 != end - 2).any():
+        raise FlacError("a frame does not end where its codes do")
+    if len(got) > 1:
+        a, b = got[0], got[1]
+        mid = (a << 1) | (b & 1)
+        got[0] = np.where(chan == 9, a + b, np.where(chan == 10, (mid + b) >> 1, a))
+        got[1] = np.where(chan == 8, a - b, np.where(chan == 10, (mid - b) >> 1, b))
+    return {int(i): np.stack([x[: n[k], k] for x in got[: n_chan[k]]]).astype(np.int32) for k, i in enumerate(idx)}
+
+
 def decode_streams(streams: list[bytes]) -> list[tuple[dict, np.ndarray, list[int]]]:
     """STREAMINFO, samples [channels, n] and the frames' first samples, of each stream; raises FlacError on any damage."""
-    frames = []
-    metas = []
+    frames: list[tuple] = []
+    metas, own = [], []
     joined = np.frombuffer(b"".join(streams), np.uint8)
     base = 0
-    for s, raw in enumerate(streams):
+    for raw in streams:
         info, seek, first = _metadata(raw)
-        metas.append(info)
         places = [first + o for o in seek] or _search(raw, first, info["bps"])
         if info["samples"] and not places:
             raise FlacError("no frames")
+        metas.append(info)
+        own.append(range(len(frames), len(frames) + len(places)))
         for place, end in zip(places, [*places[1:], len(raw)], strict=True):
             size, n, chan, bps, _, _ = _header(raw, place, info["bps"])
-            frames.append((n, s, len(frames), base + place, base + end, size, chan, bps))
+            frames.append((n, len(frames), base + place, base + end, size, chan, bps))
         base += len(raw)
+    made: dict[int, np.ndarray] = {}
+    for k in range(0, len(frames), FRAMES):
+        made |= _decode_frames(joined, frames[k : k + FRAMES])
     out: list[tuple[dict, np.ndarray, list[int]]] = []
-    if frames:
-        n, s, idx, place, end, size, chan, bps = (np.array(c, np.int64) for c in zip(*sorted(frames, key=lambda f: -f[0]), strict=True))
-        crc = _crc(_right_aligned(joined, place, end - place - 2), CRC16, 16)
-        if (crc != joined[end - 2].astype(np.uint32) << np.uint32(8) | joined[end - 1]).any():
-            raise FlacError("a frame fails its check sum")
-        if (chan > 10).any():
-            raise FlacError("a frame of a reserved channel code")
-        bits = _Bits(joined)
-        at = 8 * (place + size)
-        n_chan = np.where(chan < 8, chan + 1, 2)
-        got = []
-        for c in range(int(n_chan.max())):
-            on = np.flatnonzero(n_chan > c)
-            side = ((chan == 8) & (c == 1)) | ((chan == 9) & (c == 0)) | ((chan == 10) & (c == 1))
-            x, at[on] = _subframes(bits, at[on], n[on], bps[on] + side[on])
-            full = np.zeros((int(n[0]), len(n)), np.int64)
-            full[: len(x), on] = x
-            got.append(full)
-        if ((at + 7) // 8 != end - 2).any():
-            raise FlacError("a frame does not end where its codes do")
-        if len(got) > 1:
-            a, b = got[0], got[1]
-            mid = (a << 1) | (b & 1)
-            got[0] = np.where(chan == 9, a + b, np.where(chan == 10, (mid + b) >> 1, a))
-            got[1] = np.where(chan == 8, a - b, np.where(chan == 10, (mid - b) >> 1, b))
-        where = {int(i): k for k, i in enumerate(idx)}
-        of = [[] for _ in streams]
-        for f in frames:
-            of[f[1]].append(f)
-    for s, (raw, info) in enumerate(zip(streams, metas, strict=True)):
-        own = of[s] if frames else []
-        parts = [[got[c][: f[0], where[f[2]]] for f in own] for c in range(info["channels"])]
-        pcm = np.stack([np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts])
-        starts = np.cumsum([0] + [f[0] for f in own])[:-1].tolist()
+    for info, numbers in zip(metas, own, strict=True):
+        parts = [made.pop(i) for i in numbers]
+        if any(len(p) != info["channels"] for p in parts):
+            raise FlacError("a frame's channels are not the header's")
+        pcm = np.concatenate(parts, axis=1) if parts else np.zeros((info["channels"], 0), np.int32)
+        starts = np.cumsum([0] + [p.shape[1] for p in parts])[:-1].tolist()
         if info["samples"] and pcm.shape[1] != info["samples"]:
             raise FlacError("the samples' number is not the header's")
-        if any(info["md5"]):
-            wide = {1: "<i1", 2: "<i2", 4: "<i4"}.get(width := -(-info["bps"] // 8))
-            flat = pcm.T.reshape(-1)
-            plain = flat.astype(wide).tobytes() if wide else flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-            if hashlib.md5(plain).digest() != info["md5"]:
-                raise FlacError("the samples fail the stream's check sum")
+        if any(info["md5"]) and hashlib.md5(_plain(info, pcm)).digest() != info["md5"]:
+            raise FlacError("the samples fail the stream's check sum")
         out.append((info, pcm, starts))
     return out
 
 
+def _plain(info: dict, pcm: np.ndarray) -> bytes:
+    """Samples interleaved, little-endian in whole bytes."""
+    width = -(-info["bps"] // 8)
+    flat = pcm.T.reshape(-1)
+    wide = {1: "<i1", 2: "<i2", 4: "<i4"}.get(width)
+    return flat.astype(wide).tobytes() if wide else flat.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def pcm_blocks(info: dict, pcm: np.ndarray, starts: list[int]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Block number, sample offset, samples and PCM bytes of each frame."""
+    for b, (at, end) in enumerate(zip(starts, [*starts[1:], pcm.shape[1]], strict=True)):
+        yield b, at, end - at, _plain(info, pcm[:, at:end])
+
+
+def read_streams(media: list[bytes | None]) -> list[tuple[tuple[dict, np.ndarray, list[int]] | None, str | None]]:
+    """What each stream decodes to, or why it doesn't; one damaged stream doesn't stop the others."""
+    there = [m for m in media if m is not None]
+    try:
+        got = iter([(x, None) for x in decode_streams(there)])
+    except DAMAGE:
+        got = iter([_read_one(m) for m in there])
+    return [(None, "no media") if m is None else next(got) for m in media]
+
+
+def _read_one(raw: bytes) -> tuple:
+    try:
+        return decode_streams([raw])[0], None
+    except DAMAGE as e:
+        return None, str(e) if isinstance(e, FlacError) else f"the stream is damaged: {e}"
+
+
+#: What reading a damaged stream may raise.
+DAMAGE = (ValueError, IndexError, OverflowError, struct.error)
+
+
 # --- operators ----------------------------------------------------------------------------
 
 
@@ -546,21 +586,24 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def decode_blocks(media: DataFrame) -> DataFrame:
-    """PCM blocks of every stream: doc_id, block, sample_offset, n_samples, channels, bits, pcm.
+    """PCM blocks of every stream: doc_id, block, sample_offset, n_samples, channels, bits, pcm, error.
 
     A block is a frame's samples, interleaved, little-endian in whole bytes; a reader seeks by
-    sample_offset. Null media give no blocks; a damaged stream raises FlacError.
+    sample_offset. Null media and a damaged stream give one row with an error and nothing else.
+    Repeated rows are decoded each.
     """
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for block in _grouped((r for r in rows if r[1] is not None), lambda r: len(r[1])):
-            for (doc_id, _), (info, pcm, starts) in zip(block, decode_streams([m for _, m in block]), strict=True):
-                width = -(-info["bps"] // 8)
-                for b, (at, end) in enumerate(zip(starts, [*starts[1:], pcm.shape[1]], strict=True)):
-                    flat = pcm[:, at:end].T.reshape(-1).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width]
-                    yield doc_id, b, at, end - at, info["channels"], info["bps"], flat.tobytes()
+        for block in _grouped(rows, lambda r: len(r[1] or b"")):
+            for (doc_id, _), (read, error) in zip(block, read_streams([m for _, m in block]), strict=True):
+                if read is None:
+                    yield doc_id, None, None, None, None, None, None, error
+                    continue
+                info = read[0]
+                for b, at, n, pcm in pcm_blocks(*read):
+                    yield doc_id, b, at, n, info["channels"], info["bps"], pcm, None
 
-    return per_row(media, ["doc_id", "media"], "doc_id long, block int, sample_offset long, n_samples long, channels int, bits int, pcm binary", run)
+    return per_row(media, ["doc_id", "media"], "doc_id long, block int, sample_offset long, n_samples long, channels int, bits int, pcm binary, error string", run)
 
 
 def seek(blocks: DataFrame, first: int, count: int) -> DataFrame:
@@ -570,21 +613,37 @@ def seek(blocks: DataFrame, first: int, count: int) -> DataFrame:
 
 def features(pcm: np.ndarray) -> str:
     """Whole-number features of 8-bit samples: peak, energy, zero crossings, sum of absolute steps."""
+    pcm = pcm.astype(np.int64)
     step = np.diff(pcm)
     return f"peak={int(np.abs(pcm).max())} energy={int((pcm * pcm).sum())} crossings={int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())} steps={int(np.abs(step).sum())}"
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int, error string"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Digests of what each stored 8-bit mono stream decodes to; ``media`` needs doc_id, n_bytes, media."""
+    """Digests of the PCM blocks that each stored 8-bit mono stream decodes to; ``media`` needs doc_id, n_bytes, media.
+
+    The payload is put together from the blocks at their sample offsets, which must leave no gap.
+    Null media and damaged streams have an error, and null where there is nothing to digest.
+    Repeated rows have a row each.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for block in _grouped(rows, lambda r: len(r[2])):
-            for (doc_id, n, raw), (_, pcm, _) in zip(block, decode_streams([m for _, _, m in block]), strict=True):
-                payload = (pcm[0].astype(np.int8).view(np.uint8) ^ 0x80).tobytes()
-                yield doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(raw), hashlib.sha256(raw).hexdigest(), features(pcm[0])
+        for block in _grouped(rows, lambda r: len(r[2] or b"")):
+            for (doc_id, n, raw), (read, error) in zip(block, read_streams([m for _, _, m in block]), strict=True):
+                stored = (None, None) if raw is None else (len(raw), hashlib.sha256(raw).hexdigest())
+                if read is None:
+                    yield doc_id, n, None, None, None, *stored, None, None, error
+                    continue
+                payload, n_blocks = bytearray(), 0
+                for _, at, _, pcm in pcm_blocks(*read):
+                    if at != len(payload):
+                        raise FlacError("blocks leave a gap")
+                    payload += pcm
+                    n_blocks += 1
+                payload = (np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()
+                yield doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), *stored, features(read[1][0]), n_blocks, None
 
     return per_row(media, ["doc_id", "n_bytes", "media"], DIGEST, run)
 
