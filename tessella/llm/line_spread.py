@@ -1,11 +1,17 @@
 """Line deduplication by distinct-site spread.
 
-A line is boilerplate where it stands on many sites, among other lines each time. Copies of whole
-documents also carry their lines to many sites, but with the same neighbours; so a line's
-contexts (the lines around it) must be many too, against its documents. Sites, contexts and
-documents of each line hash are counted by HyperLogLog sketches, built before the shuffle and
-merged by aggregation. Where an estimate is too near its threshold to be sure, the line's exact
-distinct counts decide. Boilerplate lines go from every document.
+A line is boilerplate where it stands on many distinct sites. What carries a line to a site must
+not be a copy of a whole document, though: equal texts count at one site, the least of theirs, and
+texts that consist for the greater part of widespread lines (near copies of one document do) don't
+count at all. So sites are counted twice: once over all texts, which gives the widespread lines,
+and then for these over the texts that have enough lines of their own.
+
+Sites of each line hash are counted by HyperLogLog sketches, built before the shuffle and merged
+by aggregation. Where an estimate is too near the threshold to be sure, the line's exact distinct
+count decides. Boilerplate lines go from every document, copies included.
+
+Aggregates are written before rows are joined with them, so that adaptive execution can split the
+rows of a hot line or text.
 """
 
 from __future__ import annotations
@@ -15,102 +21,88 @@ from pyspark.sql import functions as F
 
 from ._common import documents, written
 
-#: A line is boilerplate from so many distinct sites and contexts on.
-MIN_SITES, MIN_CONTEXTS = 5, 5
-#: And with at least this many contexts for each of its documents.
-MIN_CONTEXT_SHARE = 0.5
+#: A line is boilerplate from so many distinct sites on.
+MIN_SITES = 5
+#: A text with more than this share of its characters in widespread lines is a copy; repeated lines of a text count once.
+MAX_SHARE = 2 / 3
 LOG_K = 10
-#: Estimates within this share of a threshold are counted exactly; a sketch's standard error at LOG_K is 3.25 %.
+#: Estimates within this share of the threshold are counted exactly; a sketch's standard error at LOG_K is 3.25 %.
 NEAR = 0.15
+LINE, TEXT = ["h1", "h2"], ["t1", "t2"]
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key(line: Column) -> Column:
-    """128 bits of a line without the spaces around it."""
-    plain = F.trim(line)
-    return F.struct(F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"))
+def _hashes(value: Column, a: str, b: str) -> list[Column]:
+    """128 bits of a value."""
+    return [F.xxhash64(value).alias(a), F.xxhash64(F.lit(7), value).alias(b)]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with text: doc_id, site, h1, h2, context (a hash of the lines beside it)."""
-    keys = F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key)
-    hashes = F.col("keys.h1")
-    edge = F.array(F.lit(0).cast("long"))
-    around = F.arrays_zip(F.col("keys").alias("key"), F.concat(edge, hashes).alias("before"), F.concat(F.slice(hashes, 2, F.greatest(F.size("keys"), F.lit(1))), edge).alias("after"))
-    return (
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), keys.alias("keys"))
-        .where(F.size("keys") > 0)
-        .select("doc_id", "site", F.explode(around).alias("line"))
-        .where(F.col("line.key").isNotNull())
-        .select("doc_id", "site", F.col("line.key.h1").alias("h1"), F.col("line.key.h2").alias("h2"), F.xxhash64("line.before", "line.after").alias("context"))
-    )
+def _key(line: Column) -> Column:
+    """A line's hash, without the spaces around it."""
+    return F.struct(*_hashes(F.trim(line), *LINE))
+
 
+def texts(docs: DataFrame) -> DataFrame:
+    """A row for each document with a line: t1, t2 (the text's hash), site, lines (h1, h2 and length of each distinct one), chars (their sum).
 
-def _verdict(sites: Column, contexts: Column, n_docs: Column, min_sites: int, min_contexts: int, share: float) -> Column:
-    return (sites >= min_sites) & (contexts >= min_contexts) & (contexts >= share * n_docs)
+    Equal texts have one site.
+    """
+    line = F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: F.struct(*_hashes(F.trim(x), *LINE), F.length(F.trim(x)).alias("n")))
+    keyed = docs.select(*_hashes(F.col("text"), *TEXT), F.coalesce("source", F.lit("")).alias("site"), F.array_distinct(line).alias("lines")).where(F.size("lines") > 0)
+    keyed = written(keyed.withColumn("chars", F.aggregate("lines", F.lit(0), lambda n, x: n + x["n"])), "texts")
+    copied = written(keyed.groupBy(*TEXT).agg(F.min("site").alias("first"), F.max("site").alias("last")).where("first <> last").drop("last"), "copied-texts")
+    return keyed.join(copied, TEXT, "left").withColumn("site", F.coalesce("first", "site")).drop("first")
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_contexts: int = MIN_CONTEXTS, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
-    """The hashes of boilerplate lines: h1, h2, n_sites, n_contexts, n_docs.
+def widespread(rows: DataFrame, min_sites: int) -> DataFrame:
+    """The lines (h1, h2) of ``rows`` (h1, h2, site) that stand on enough distinct sites, with n_sites: an estimate where it is far from the threshold, else exact."""
+    sketched = written(rows.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("n_sites")).where(F.col("n_sites") >= min_sites * (1 - NEAR)), "line-sketches")
+    sure = F.col("n_sites") > min_sites * (1 + NEAR)
+    doubtful = written(rows.join(sketched.where(~sure).select(*LINE), LINE).select(*LINE, "site").distinct(), "doubtful-lines")  # distinct rows first, so that a frequent line is spread over many tasks
+    exact = doubtful.groupBy(*LINE).agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    return written(sketched.where(sure).unionByName(exact), "widespread-lines")
 
-    ``lines`` as from occurrences(). Lines that occur less often than the thresholds have no
-    sketch: distinct counts can't exceed occurrences.
-    """
-    key = ["h1", "h2"]
-    often = written(lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= max(min_sites, min_contexts)).select(*key), "often")
-    frequent = written(lines.join(often, key), "frequent-lines")  # nothing is aggregated in the join's stage, so a hot line's rows can be split
-    estimate = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, LOG_K))
-    sketched = written(
-        frequent.groupBy(*key).agg(
-            estimate("site").alias("n_sites"),
-            estimate("context").alias("n_contexts"),
-            estimate(F.coalesce("doc_id", F.lit(-1).cast("long"))).alias("n_docs"),
-        ),
-        "line-sketches",
-    )
-    near = lambda n, at: F.abs(n - at) <= NEAR * at
-    unsure = (
-        near(F.col("n_sites"), F.lit(min_sites).cast("double"))
-        | near(F.col("n_contexts"), F.lit(min_contexts).cast("double"))
-        | near(F.col("n_contexts"), share * F.col("n_docs"))
-    )
-    worth = (F.col("n_sites") >= min_sites * (1 - NEAR)) & (F.col("n_contexts") >= min_contexts * (1 - NEAR)) & (F.col("n_contexts") >= share * (1 - NEAR) * F.col("n_docs"))
-    doubtful = sketched.where(unsure & worth).select(*key)
-    rows = written(frequent.join(doubtful, key), "doubtful-lines")
 
-    def exactly(column: str, name: str) -> DataFrame:
-        """Distinct rows first, so that a frequent line is spread over many tasks."""
-        return rows.select(*key, column).distinct().groupBy(*key).agg(F.count("*").alias(name))
+def boilerplate(sited: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The hashes of boilerplate lines (h1, h2, n_sites), and the texts' rows of widespread lines (t1, t2, h1, h2, and others).
 
-    exact = exactly("site", "n_sites").join(exactly("context", "n_contexts"), key).join(exactly("doc_id", "n_docs"), key)
-    sure = sketched.where(worth & ~unsure)
-    rule = _verdict(F.col("n_sites"), F.col("n_contexts"), F.col("n_docs"), min_sites, min_contexts, share)
-    return written(sure.where(rule).unionByName(exact.where(rule)), "boilerplate")
+    ``sited`` as from texts(). Lines that occur less often than the threshold have no sketch:
+    distinct counts can't exceed occurrences.
+    """
+    rows = sited.select(*TEXT, "site", "chars", F.explode("lines").alias("line")).select(*TEXT, "site", "chars", "line.*")
+    often = written(rows.groupBy(*LINE).agg(F.count("*").alias("times")).where(F.col("times") >= min_sites).select(*LINE), "often")
+    frequent = written(rows.join(often, LINE), "frequent-lines")
+    spread = written(frequent.join(widespread(frequent, min_sites).select(*LINE), LINE), "spread-lines")
+    shared = spread.select(*TEXT, "chars", *LINE, "n").distinct().groupBy(*TEXT, "chars").agg(F.sum("n").alias("shared"))
+    copies = written(shared.where(F.col("shared") > max_share * F.col("chars")).select(*TEXT), "copies")
+    own = written(spread.join(copies, TEXT, "left_anti"), "own-lines")
+    return widespread(own, min_sites), spread
 
 
 def dedup_lines(docs: DataFrame, **thresholds) -> DataFrame:
     """``docs`` with boilerplate lines taken out of text, and n_lines, n_removed added.
 
-    ``docs`` needs doc_id, text and source (null: one site of its own). Lines are compared without
-    the spaces around them; blank lines are never boilerplate. Null texts stay null. Rows of one
-    doc_id are treated alike; further columns pass as they are, except that columns named like
-    an added one are replaced.
+    ``docs`` needs text and source (null: one site of its own). Lines are compared without the
+    spaces around them; blank lines are never boilerplate. Null texts stay null; an empty table
+    gives an empty one. Equal texts lose the same lines; further columns pass as they are, except
+    that columns named like an added one are replaced.
     """
-    lines = written(occurrences(docs), "lines")
-    bad = boilerplate(lines, **thresholds)
-    hits = lines.join(bad.select("h1", "h2"), ["h1", "h2"]).select("doc_id", F.struct("h1", "h2").alias("h")).distinct().groupBy("doc_id").agg(F.collect_list("h").alias("_hits")).withColumnRenamed("doc_id", "_hit_id")
+    bad, spread = boilerplate(texts(docs), **thresholds)
+    hits = spread.join(bad.select(*LINE), LINE).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.struct(*LINE).alias("h")).distinct()
+    hits = written(hits.groupBy("_t1", "_t2").agg(F.collect_list("h").alias("_hits")), "hits")  # at most a text's own lines
     keep = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("_hits", _key(x)))
     n_lines = F.size(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""))
     n_left = F.size(F.filter(keep, lambda x: F.trim(x) != ""))
-    joined = docs.drop("n_lines", "n_removed").join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left")
+    t1, t2 = _hashes(F.col("text"), "t1", "t2")
+    joined = docs.drop("n_lines", "n_removed").join(hits, (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     return (
         joined.withColumn("n_lines", n_lines.cast("long"))
         .withColumn("n_removed", F.when(F.col("_hits").isNull(), 0).otherwise(F.col("n_lines") - n_left).cast("long"))
         .withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
-        .drop("_hits", "_hit_id")
+        .drop("_hits", "_t1", "_t2")
     )
 
 
@@ -120,17 +112,20 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH parts AS (
-  SELECT doc_id, coalesce(source, '') AS site, trim(u.line, ' ') AS plain, u.line, u.pos
+  SELECT doc_id, text, u.line, trim(u.line, ' ') AS plain, u.pos
   FROM documents, LATERAL (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos) u
 ),
-around AS (
-  SELECT *, coalesce(lag(plain) OVER w, chr(1)) || chr(2) || coalesce(lead(plain) OVER w, chr(1)) AS context
-  FROM parts WHERE plain <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+sited AS (SELECT text, min(coalesce(source, '')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+own AS (SELECT DISTINCT text, plain FROM parts WHERE plain <> ''),
+spread AS (SELECT plain FROM own JOIN sited USING (text) GROUP BY plain HAVING count(DISTINCT site) >= {MIN_SITES}),
+shares AS (
+  SELECT text, sum(length(plain)) FILTER (plain IN (SELECT plain FROM spread)) AS shared, sum(length(plain)) AS chars FROM own GROUP BY text
 ),
-spread AS (
-  SELECT plain, count(DISTINCT site) AS s, count(DISTINCT context) AS c, count(DISTINCT doc_id) AS d FROM around GROUP BY plain
+bad AS (
+  SELECT plain FROM own JOIN sited USING (text) JOIN shares USING (text)
+  WHERE plain IN (SELECT plain FROM spread) AND coalesce(shared, 0) <= {MAX_SHARE!r}::DOUBLE * chars
+  GROUP BY plain HAVING count(DISTINCT site) >= {MIN_SITES}
 ),
-bad AS (SELECT plain FROM spread WHERE s >= {MIN_SITES} AND c >= {MIN_CONTEXTS} AND c >= {MIN_CONTEXT_SHARE} * d),
 marked AS (SELECT p.*, b.plain IS NOT NULL AS gone FROM parts p LEFT JOIN bad b ON p.plain = b.plain),
 made AS (
   SELECT doc_id, count(*) FILTER (plain <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
