@@ -7,10 +7,15 @@ the miss probability; survivors are confirmed on their full shingle sets.
 
 No bucket's pairs are all emitted. First each member meets its bucket's smallest one. What then
 still spans several components is cut into blocks, and pairs of blocks are compared inside tasks,
-where only pairs across components count, the likeliest first, and a pair whose components have
-been joined meanwhile needs no test; the links found come out as a forest. Buckets that overlap,
-as those of one family of copies do, are compared as one group, unless chance has chained buckets
-into a group far larger than any of them.
+where only pairs of a common bucket across components count, the likeliest first, and a pair whose
+components have been joined meanwhile needs no test; the links found come out as a forest. Members
+of a group's largest component never meet each other, so they travel once for each block of the
+others. Buckets that overlap, as those of one family of copies do, are worked off as one group,
+unless chance has chained buckets into a group far larger than any of them: that decides where a
+pair is compared, never whether.
+
+Aggregates are written before rows are joined with them, so that no aggregation shares a stage
+with a join and adaptive execution can split the rows of a hot key.
 """
 
 from __future__ import annotations
@@ -197,13 +202,13 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large and small stars until the edges point at the smallest nodes; the edges are
     written after each turn, and neither edges nor nodes reach the driver.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     while True:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-stars")
+        small_least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least, "u")
         edges = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
@@ -220,27 +225,37 @@ def _similar_sizes(a, b, percent: int):
 
 
 def _open_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """key, rep, component, n_members of the groups that span several components."""
+    """key, rep, component of the groups that span several components."""
     of = components(links)
     labelled = written(members.join(of, members.rep == of.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
     spans = [F.count("*").alias("n_members"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first")]
-    buckets = written(labelled.join(labelled.groupBy("key").agg(*spans).where("lo <> hi").drop("lo", "hi"), "key"), "open-buckets")
-    chained = components(buckets.select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    grouped = buckets.join(chained.select(F.col("node").alias("rep"), F.col("component").alias("chain")), "rep")
-    sizes = grouped.groupBy("chain").agg(F.max("n_members").alias("most")).join(chained.groupBy(F.col("component").alias("chain")).agg(F.count("*").alias("n_chain")), "chain")
-    sizes = written(sizes, "chains")  # a large chain's rows then meet its size without being dealt to one task
+    spanning = written(labelled.groupBy("key").agg(*spans).where("lo <> hi").drop("lo", "hi"), "open-keys")
+    buckets = written(labelled.join(spanning, "key"), "open-buckets")
+    chained = written(components(buckets.select(F.col("first").alias("a"), F.col("rep").alias("b"))), "chained")
+    grouped = written(buckets.join(chained.select(F.col("node").alias("rep"), F.col("component").alias("chain")), "rep"), "grouped")
+    largest = written(grouped.groupBy("chain").agg(F.max("n_members").alias("most")), "largest-buckets")
+    counted = written(chained.groupBy(F.col("component").alias("chain")).agg(F.count("*").alias("n_chain")), "chain-sizes")
+    sizes = written(largest.join(counted, "chain"), "chains")
     judged = grouped.join(sizes, "chain").withColumn("as_one", F.col("n_chain") <= CHAIN * F.col("most"))
-    one = judged.where("as_one").select(F.concat(F.lit("c"), "chain").alias("key"), "rep", "component", F.col("n_chain").alias("n_members")).distinct()
-    return one.unionByName(judged.where("NOT as_one").select(F.concat(F.lit("b"), "key").alias("key"), "rep", "component", "n_members"))
+    group = F.when(F.col("as_one"), F.concat(F.lit("c"), "chain")).otherwise(F.concat(F.lit("b"), "key"))
+    return written(judged.select(group.alias("key"), "rep", "component").distinct(), "groups")
 
 
 def across(groups: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links across components within the groups, found block against block inside tasks, as a forest over each pair of blocks."""
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
+    """Links across components within the groups (key, rep, component), found block against block inside tasks, as a forest over each pair of blocks.
+
+    Each group's largest component has blocks of its own, which meet the blocks of the other
+    components alone; those meet all.
+    """
+    bands, width = bands_for(percent)
+    sizes = written(groups.groupBy("key", "component").agg(F.count("*").alias("n")), "component-sizes")
+    of_key = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_all"))
+    of_key = written(of_key.select("key", F.col("most.component").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("n_major"), F.ceil((F.col("n_all") - F.col("most.n")) / BLOCK).cast("int").alias("n_minor")), "group-sizes")
+    is_major = F.col("component") == F.col("major")
     spread = (
-        groups.withColumn("blocks", blocks)
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        groups.join(of_key, "key")
+        .withColumn("chunk", F.when(is_major, F.col("n_minor") + F.pmod(F.xxhash64("rep"), F.col("n_major"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_minor"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1 + F.when(is_major, 0).otherwise(F.col("n_major")))))
         .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep", "component")
     )
     rows = spread.join(full, "rep")
@@ -259,6 +274,8 @@ def across(groups: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFr
             js = js[(comp[js] != comp[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
             if len(js):
                 kept, matches = surviving(np.broadcast_to(sig[i], (len(js), HASHES)), sig[js], percent)
+                meet = (sig[js[kept], : bands * width] == sig[i, : bands * width]).reshape(-1, bands, width).all(2).any(1)
+                kept, matches = kept[meet], matches[meet]
                 found += zip((-matches).tolist(), [i] * len(kept), js[kept].tolist(), strict=True)
         root: dict[int, int] = {}
 
@@ -284,7 +301,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Texts whose full sets have a Jaccard similarity of at least ``percent`` per cent are linked.
 
     ``docs`` needs doc_id and text. Null and empty texts, and texts without words, have no
-    shingles, link with nothing and are kept. Rows of one doc_id count as one document; a row
+    shingles, link with nothing and are kept. Rows of one doc_id count as one document; where their
+    texts differ, the class of each is its own and the least text stands for the id. A row
     without doc_id belongs to its class and is not kept. Other columns are left out.
     """
     sigs = written(signatures(docs, percent), "signatures")
@@ -293,9 +311,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = sets.join(classes, ["s1", "s2"])
     nodes = written(same.where("doc_id = rep").select("rep", "n_shingles", "bands"), "nodes")
     banded = nodes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("n > 1")
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("first")).where("n > 1"), "shared-keys")
     members = written(banded.join(shared, "key").select("key", "rep", "n_shingles", F.col("first.rep").alias("center"), F.col("first.n_shingles").alias("n_center")), "members")
-    texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     full = written(full_sets(texts), "full-sets")
 
     star = members.where("rep <> center").where(_similar_sizes(F.col("n_shingles"), F.col("n_center"), percent)).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
