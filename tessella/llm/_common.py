@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
-#: Used only where the session names no folder for checkpoints, as in tests.
+#: Used only where the session names no folder for checkpoints and all executors are threads of one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessella"
 
 
@@ -30,8 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; without it, a cluster's executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

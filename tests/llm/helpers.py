@@ -18,7 +18,7 @@ def words(text):
     return out + ([cur] if cur else [])
 
 
-def plain_components(docs):
+def plain_components(docs, percent=85):
     """doc_id to the smallest linked doc_id, by comparing all pairs."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -35,24 +35,30 @@ def plain_components(docs):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def plain_boilerplate(docs, sites=5, contexts=5, share=0.5):
-    """Lines that stand on many sites in many contexts; docs are (doc_id, text, source)."""
-    seen = defaultdict(lambda: (set(), set(), set()))
-    for i, text, source in docs:
-        lines = [x.strip(" ") for x in (text or "").split("\n")]
-        lines = [x for x in lines if x]
-        for k, line in enumerate(lines):
-            s, c, d = seen[line]
-            s.add(source or "")
-            c.add((lines[k - 1] if k else None, lines[k + 1] if k + 1 < len(lines) else None))
-            d.add(i)
-    return {line for line, (s, c, d) in seen.items() if len(s) >= sites and len(c) >= contexts and len(c) >= share * len(d)}
+def plain_boilerplate(docs, sites=5, share=2 / 3):
+    """Lines on many sites, over texts that aren't made of such lines; docs are (doc_id, text, source)."""
+    home, lines = {}, {}
+    for _, text, source in docs:
+        if text is not None:
+            home[text] = min(home.get(text, source or ""), source or "")
+            lines[text] = {x.strip(" ") for x in text.split("\n")} - {""}
+
+    def spread(of):
+        at = defaultdict(set)
+        for text in of:
+            for line in lines[text]:
+                at[line].add(home[text])
+        return {line for line, where in at.items() if len(where) >= sites}
+
+    wide = spread(lines)
+    own = [t for t, ls in lines.items() if sum(len(x) for x in ls & wide) <= share * sum(map(len, ls))]
+    return wide & spread(own)
 
 
 def plain_counts(text):
@@ -105,3 +111,32 @@ def edge_rows():
         (8, "x" * 5000, "en", None, 5000),
         (None, "no id here at all", "en", "a", 1),
     ]
+
+
+def plain_factor(text, start, end, near):
+    """The weight of a hit's context, by scanning its line anew."""
+    from tessella.llm import toxicity as T
+
+    line_start = text.rfind("\n", 0, start) + 1
+    line_end = text.find("\n", end) if "\n" in text[end:] else len(text)
+    open_, low, high, angle = 0, 0, 0, 0
+    for c in text[line_start:start]:
+        if c == '"':
+            open_ = 1 - open_
+        elif c == "„":
+            low += 1
+        elif c == "“" and low:
+            low -= 1
+        elif c == "“":
+            high += 1
+        elif c == "”" and high:
+            high -= 1
+        elif c == "”":
+            low = max(0, low - 1)
+        elif c in "«»":
+            angle = max(0, angle + (1 if c == "«" else -1))
+    before, after = text[:start].rstrip(), text[end:].lstrip()
+    single = before[-1:] in tuple("'‘‚‹") and after[:1] in tuple("'’‘›")
+    inside = bool(open_ or low or high or angle) and any(c in '"“”»' for c in text[end:line_end])
+    factor = T.QUOTED if single or inside else 1.0
+    return factor * T.REPORTED if any(w in T.REPORTING for w in near) else factor

@@ -139,7 +139,6 @@ def test_op3(spark, sf, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = QUERIES["op3_min_bin_slack"](spark, sf).collect()
     of, bins = {}, {}
     for r in rows:
@@ -164,6 +163,18 @@ def test_op3(spark, sf, texts):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_added_tokens_are_encoded_as_the_library_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", " <|endoftext|> the", "x  <|endoftext|>\n y", "<|endoftext|><|endoftext|>", "the <|endoftext|>the", "<|endoftext|", "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bin_slack.pack(df).collect():
+        ids = np.array(tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [0], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 # 4
 
 PRIVATE = [
