@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 KEY = ["repo", "number"]
 
 
@@ -16,7 +18,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     start = F.coalesce(F.max("id"), F.lit(0)).alias("_start")
     fresh = new.join(old.select(*KEY), KEY, "left_anti").select(*KEY)
-    ranked = _numbered(fresh, KEY).crossJoin(F.broadcast(old.agg(start))).select(*KEY, (F.col("_start") + F.col("_at")).alias("_id"))  # one row
+    ranked = numbered(fresh, *KEY).crossJoin(F.broadcast(old.agg(start))).select(*KEY, (F.col("_start") + F.col("_at") + 1).alias("_id"))  # one row
     given = new.columns
     taken = F.col("_new").isNotNull()
     out = [F.coalesce(F.col("o.id"), F.col("_id")).alias("id")]
@@ -33,23 +35,16 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select(*out).select(*old.columns)
 
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """With _at from 1 over a global order: numbers within range partitions, plus the counts of those before."""
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
-    return parted.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_before")
-
-
 def replace_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` without the rows of the keys in ``new``, and the rows of ``new``."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
 
 
 def latest(rows: DataFrame, key: list[str], *order) -> DataFrame:
-    """One row a key: the greatest by ``order``; later of equals by the order's last column."""
+    """One row a key: the greatest by ``order``, and of equals the one with the greatest other columns, so that no run differs."""
     others = [c for c in rows.columns if c not in key]
-    best = F.max_by(F.struct(*others), F.struct(*order)).alias("_row")
+    comparable = [c for c, kind in rows.dtypes if c in others and "map<" not in kind and kind != "variant"]
+    best = F.max_by(F.struct(*others), F.struct(F.struct(*order), F.struct(*comparable))).alias("_row")
     return rows.groupBy(*key).agg(best).select(*key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*rows.columns)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 SEARCH_TOOL = "search_issues"
 
 
@@ -19,6 +21,18 @@ def entry(hits: DataFrame, entry_id: int, ts, tool: str, query: str, filters: st
     )
 
 
+def follow_up(log: DataFrame, target: str, at) -> DataFrame:
+    """log_id, follow_up, at: the mark of the latest search whose results hold ``target``; no row where there is none."""
+    found = log.where((F.col("tool") == SEARCH_TOOL) & F.array_contains("results", target)).agg(F.max("id").alias("log_id"))
+    return found.where("log_id IS NOT NULL").select("log_id", F.lit(target).alias("follow_up"), F.lit(at).cast("timestamp").alias("at"))
+
+
+def marked(log: DataFrame, marks: DataFrame) -> DataFrame:
+    """The log with the latest of its marks (log_id, follow_up, at)."""
+    last = marks.groupBy("log_id").agg(F.max_by("follow_up", F.struct("at", "follow_up")).alias("_mark"))
+    return log.join(last, log.id == last.log_id, "left").withColumn("follow_up", F.coalesce("_mark", "follow_up")).drop("log_id", "_mark")
+
+
 def mark_follow_up(log: DataFrame, target: Column | str) -> DataFrame:
     """The log with the latest search whose results hold ``target`` marked by it; unchanged where there is none."""
     target = F.lit(target) if isinstance(target, str) else target
@@ -75,18 +89,10 @@ def list_repos(issues: DataFrame, sync_state: DataFrame) -> DataFrame:
     return repo_stats(issues, sync_state).join(facets, "repo", "left").withColumn("labels", F.coalesce("labels", none)).orderBy("repo")
 
 
-def evenly(hits: DataFrame, k: int, *order) -> DataFrame:
-    """``k`` rows at even steps over the order, the first included.
-
-    Positions come from counts of range partitions rather than from one global window: each
-    partition numbers its rows, and starts where the ones before end.
-    """
+def evenly(hits: DataFrame, k: int, *order: str) -> DataFrame:
+    """``k`` rows at even steps over the order, the first included; it should be total."""
     total = hits.count()
     if total == 0 or k <= 0:
         return hits.limit(0)
     stride = max(1, total // min(k, total))
-    parted = hits.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
-    numbered = parted.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return numbered.where((F.col("_at") % stride == 0) & (F.col("_at") < stride * k)).drop("_part", "_before", "_at")
+    return numbered(hits, *order).where((F.col("_at") % stride == 0) & (F.col("_at") < stride * k)).drop("_at")
