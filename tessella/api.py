@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ from .errors import TessellaError
 from .functions import fingerprint, text
 from .operators import bm25, context, duplicates, querylog, relations, retrieve
 from .operators.filters import SearchFilter, SearchParams
+from .schema import FOLLOW_UPS
 from .sources.embedder import Embedder
 from .sources.store import IndexStore
 
@@ -26,7 +28,7 @@ class Tools:
 
     def _tables(self):
         issues = self.store.table("issues")
-        return issues, self.store.table("issues_vec"), bm25.build(issues)
+        return issues, self.store.table("issues_vec"), bm25.TextIndex(self.store.table("postings"), self.store.table("lengths"), self.store.table("text_stats"))
 
     def _guard(self) -> None:
         """The index' vectors must be comparable with the embedder's."""
@@ -38,10 +40,8 @@ class Tools:
     def _log(self, hits, tool: str, query: str, filters: str | None) -> None:
         """Append to the log; a search doesn't fail with it."""
         try:
-            log = self.store.table("query_log")
-            last = log.agg(F.max("id")).first()[0] or 0
             now = datetime.now(timezone.utc).replace(tzinfo=None)
-            self.store.publish({"query_log": log.unionByName(querylog.entry(hits, last + 1, now, tool, query, filters))})
+            self.store.append("query_log", querylog.entry(hits, time.time_ns(), now, tool, query, filters))  # ids in order of time
         except Exception as e:
             import warnings
 
@@ -61,8 +61,9 @@ class Tools:
         found = context.pack(context.issue(issues, repo, number), self.store.table("issue_comments")).first()
         if found is None:
             raise TessellaError(f"{repo}#{number} is not in the index")
-        log = self.store.table("query_log")
-        self.store.publish({"query_log": querylog.mark_follow_up(log, f"{repo}#{number}")})
+        mark = querylog.follow_up(self.store.table("query_log"), f"{repo}#{number}", datetime.now(timezone.utc).replace(tzinfo=None)).first()
+        if mark:
+            self.store.append("follow_ups", self.spark.createDataFrame([tuple(mark)], FOLLOW_UPS))
         keys = self.spark.createDataFrame([(repo, number)], "repo string, number long")
         edges = relations.payload(self.store.table("relations"), keys).first().asDict()
         return found.asDict() | {"related": self.find_related(repo, number, 5), "relations": {k: edges[k] for k in ("fixes", "closes", "refs", "fixed_by")}}

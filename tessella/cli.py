@@ -107,7 +107,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def _embedder(config: Config) -> HttpEmbedder:
     e = config.embedding()
-    return HttpEmbedder(e.base, e.key, e.model, e.dimensions, e.batch_size)
+    return HttpEmbedder(e.base, e.key, e.model, e.dimensions, e.batch_size, interval=config.batch_interval_ms() / 1000, proxy=config.proxy())
 
 
 def _tools(config, spark, store) -> Tools:
@@ -118,7 +118,7 @@ def _tools(config, spark, store) -> Tools:
 def _sync(args, config, spark, store) -> int:
     repeats, body_max = config.text()
     for repo in repos_of(args, config):
-        print(repo, sync_repo(spark, store, raw.RawStore(spark, str(config.home)), Rest("https://api.github.com", config.token()), _embedder(config), repo, SyncParams(64, repeats, body_max), rebuild=args.rebuild))
+        print(repo, sync_repo(spark, store, raw.RawStore(spark, str(config.home)), Rest("https://api.github.com", config.token(), proxy=config.proxy()), _embedder(config), repo, SyncParams(64, repeats, body_max), rebuild=args.rebuild))
     return 0
 
 
@@ -150,7 +150,8 @@ def _fetch(args, config, spark, store) -> int:
     from .functions import fingerprint
 
     e = config.embedding()
-    print(skeleton.load(store, args.source, fingerprint.full(HttpEmbedder(e.base, "", e.model, e.dimensions).fingerprint(), *config.text())))
+    source = skeleton.unpacked(store, args.source, config.proxy()) if skeleton.is_archive(args.source) else args.source
+    print(skeleton.load(store, source, fingerprint.full(HttpEmbedder(e.base, "", e.model, e.dimensions).fingerprint(), *config.text())))
     return 0
 
 
@@ -167,7 +168,7 @@ def _eval(args, config, spark, store) -> int:
     queries = evaluate.queries_of(querylog.recent_queries(store.table("query_log"), args.days or part["days"], now), anchors)
     judge, tools = HttpJudge(part["base_url"] or "", part["api_key"] or "", part["model"] or ""), _tools(config, spark, store)
     rows = []
-    for q in (r.query for r in queries.orderBy("query").toLocalIterator()):
+    for q in (r.query for r in queries.toLocalIterator()):
         for rank, hit in enumerate(tools.search_issues(q, top_k=part["top_k"], tool="eval"), 1):
             rows.append((q, rank, hit["repo"], hit["number"], judge.grade(q, hit["title"], hit["snippet"])[0]))
     report = evaluate.run(spark.createDataFrame(rows, "query string, rank int, repo string, number long, grade int"), anchors) | {"judge_model": part["model"]}

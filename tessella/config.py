@@ -11,15 +11,16 @@ from .errors import ConfigError
 from .functions.text import BODY_MAX, TITLE_REPEATS
 from .operators.filters import SearchParams
 
-#: Public embedding endpoints and their models.
+#: Public embedding endpoints, their models, and the texts that one call takes.
 PRESETS = {
-    "siliconflow": ("https://api.siliconflow.cn/v1", "BAAI/bge-m3"),
-    "aliyun": ("https://dashscope.aliyuncs.com/compatible-mode/v1", "qwen3.7-text-embedding-flash"),
-    "ollama": ("http://127.0.0.1:11434/v1", "bge-m3"),
-    "openai": ("https://api.openai.com/v1", "text-embedding-3-small"),
-    "jina": ("https://api.jina.ai/v1", "jina-embeddings-v3"),
+    "siliconflow": ("https://api.siliconflow.cn/v1", "BAAI/bge-m3", 64),
+    "aliyun": ("https://dashscope.aliyuncs.com/compatible-mode/v1", "qwen3.7-text-embedding-flash", 16),
+    "ollama": ("http://127.0.0.1:11434/v1", "bge-m3", 16),
+    "openai": ("https://api.openai.com/v1", "text-embedding-3-small", 16),
+    "jina": ("https://api.jina.ai/v1", "jina-embeddings-v3", 16),
 }
 DEFAULT_PROVIDER = "siliconflow"
+OWN_BATCH = 16
 
 
 @dataclass(frozen=True)
@@ -51,13 +52,13 @@ class Config:
         provider = self.env.get("TESSELLA_EMBEDDER") or part.get("provider") or DEFAULT_PROVIDER
         if provider not in PRESETS and provider != "custom":
             raise ConfigError(f"unknown provider {provider}: one of {', '.join(PRESETS)} or custom")
-        base, model = PRESETS.get(provider, ("", ""))
+        base, model, batch = PRESETS.get(provider, ("", "", OWN_BATCH))
         base = self.env.get("TESSELLA_API_BASE") or part.get("base_url") or base
         model = self.env.get("TESSELLA_API_MODEL") or part.get("model") or model
         if not base or not model:
             raise ConfigError("a custom provider needs base_url and model")
         key = self.env.get("TESSELLA_API_KEY") or part.get("api_key") or ""
-        return Embedding(base, key, model, part.get("dimensions"), part.get("batch_size") or (64 if "siliconflow" in base else 16))
+        return Embedding(base, key, model, part.get("dimensions"), part.get("batch_size") or batch)
 
     def search(self) -> SearchParams:
         part, d = self._section("retrieval"), SearchParams()

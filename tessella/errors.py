@@ -27,3 +27,7 @@ class EvalError(TessellaError):
 
 class SourceError(TessellaError):
     """A remote source failed, after retries."""
+
+
+class StoreConflict(TessellaError):
+    """Another writer has changed the store meanwhile."""

@@ -66,8 +66,10 @@ def drift(graded: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def queries_of(recent: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Recent queries and those of anchors, once each."""
-    return recent.select("query").union(anchors.select("query")).distinct()
+    """Recent queries in their order, then those of anchors in theirs, once each, in order."""
+    both = recent.select("query").withColumn("_part", F.lit(0)).unionByName(anchors.select("query").withColumn("_part", F.lit(1))).withColumn("_at", F.monotonically_increasing_id())
+    first = both.groupBy("query").agg(F.min(F.struct("_part", "_at")).alias("_first"))
+    return first.orderBy("_first").select("query")
 
 
 def judged(hits: DataFrame, grades: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def fused(
     """id, score, source of both legs' fusion; the filter holds on both legs, before their limits."""
     if top_k < 0:
         raise ValueError("top_k must not be negative")
+    vectors.check_dimension(vecs, qvec)
     wanted = where.predicate()
     vec = vectors.top_k(vectors.candidates(issues, vecs, wanted), qvec, params.vec_top, decimals)
     fts = _ranked(bm25.search(index, issues, query, params.fts_top, wanted, decimals), "bm25", "id")

@@ -13,7 +13,7 @@ from ..functions import fingerprint, text
 from ..sources import embedder as E
 from ..sources import github, raw
 from ..sources.store import IndexStore
-from . import index, relations
+from . import bm25, index, relations
 
 
 @dataclass(frozen=True)
@@ -32,16 +32,18 @@ class SyncReport:
 
 
 def land(spark: SparkSession, store: raw.RawStore, repo: str, issue_pages: Iterable[str], comment_pages: Iterable[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Merge pages into the raw layer one by one, so that a failure keeps what came before; returns the issues and comments that came."""
+    """Stage pages in the raw layer one by one, so that a failure keeps what came before, and merge them once; returns the issues and comments that came."""
     got: list[DataFrame | None] = [None, None]
     for page in issue_pages:
         rows = raw.to_raw(github.parse_issues(spark.createDataFrame([(repo, page)], "repo string, json string")))
-        store.merge_issues(repo, rows)
+        store.stage(repo, "issues", rows)
         got[0] = rows if got[0] is None else got[0].unionByName(rows)
     for page in comment_pages:
         rows = github.parse_comments(spark.createDataFrame([(page,)], "json string"))
-        store.merge_comments(repo, rows)
+        store.stage(repo, "comments", rows)
         got[1] = rows if got[1] is None else got[1].unionByName(rows)
+    store.merge(repo, "issues")
+    store.merge(repo, "comments")
     return got[0], got[1]
 
 
@@ -73,6 +75,7 @@ def sync_repo(spark: SparkSession, store: IndexStore, landing: raw.RawStore, sou
         new_vecs = E.embed(pending, embedder, "id", params.batch).select(F.col("id").alias("issue_id"), "embedding").persist()
         talk = rows.join(ids, ["repo", "number"]).select(F.col("id").alias("issue_id"), F.posexplode("comments").alias("idx", "c")).select("issue_id", F.col("idx").cast("long").alias("idx"), "c.author", "c.body")
         gone = rows.join(ids, ["repo", "number"]).select(F.col("id").alias("issue_id"))
+        text_index = bm25.updated(bm25.TextIndex(store.table("postings"), store.table("lengths"), store.table("text_stats")), merged.join(gone.withColumnRenamed("issue_id", "id"), "id", "left_semi"))
         edges = relations.replace(store.table("relations"), rows, relations.extract(rows.select("repo", "number", "title", "body")))
         cursor = None if issues is None else issues.agg(F.max("updated_at")).first()[0]
         cursor = cursor or since
@@ -84,6 +87,7 @@ def sync_repo(spark: SparkSession, store: IndexStore, landing: raw.RawStore, sou
             "issues_vec": index.replace_rows(vecs, new_vecs, ["issue_id"]),
             "issue_comments": store.table("issue_comments").join(gone, "issue_id", "left_anti").unionByName(talk),
             "relations": edges,
+            **bm25.stored(text_index),
             "manifest": store.with_manifest("embedding_fp", fp),
             "sync_state": states,
         })

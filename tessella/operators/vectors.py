@@ -8,10 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DimensionMismatch
 from ..functions.vector import dot
 
 #: Queries that travel to every task, at most; a batch over this is split.
 MAX_BATCH = 4096
+#: Products of queries and candidates that a task holds at a time, about.
+PRODUCTS = 1 << 20
 
 
 def candidates(issues: DataFrame, vectors: DataFrame, predicate=None) -> DataFrame:
@@ -20,6 +23,13 @@ def candidates(issues: DataFrame, vectors: DataFrame, predicate=None) -> DataFra
     return kept.select("id").join(vectors.select(F.col("issue_id").alias("id"), "embedding"), "id")
 
 
+def check_dimension(vectors: DataFrame, query: Sequence[float]) -> None:
+    """DimensionMismatch if the query hasn't the length of the vectors; nothing where there are none."""
+    row = vectors.select(F.size("embedding").alias("n")).first()
+    if row is not None and row.n != len(query):
+        raise DimensionMismatch(f"the index has vectors of {row.n} dimensions, the query {len(query)}")
+
+
 def top_k(cands: DataFrame, query: Sequence[float], k: int, decimals: int | None = None) -> DataFrame:
     """id, sim, rank of the ``k`` nearest by inner product; ties go to the smaller id."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -55,9 +65,8 @@ def top_k_batch(cands: DataFrame, queries: DataFrame, k: int, decimals: int | No
         import pandas as pd
 
         sims, ids = np.full((len(qids), 0), 0.0), np.full((len(qids), 0), 0, np.int64)
-        for b in batches:
-            if not len(b):
-                continue
+        rows = max(k, PRODUCTS // len(qids))
+        for b in (b.iloc[at : at + rows] for b in batches for at in range(0, len(b), rows)):
             got = table @ np.stack(b["embedding"]).astype(np.float64).T
             if decimals is not None:
                 got = np.round(got, decimals)

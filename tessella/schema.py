@@ -10,6 +10,11 @@ RELATIONS = "repo STRING, number LONG, kind STRING, target_repo STRING, target_n
 SYNC_STATE = "repo STRING, cursor_updated_at STRING, last_sync_at TIMESTAMP"
 MANIFEST = "key STRING, value STRING"
 QUERY_LOG = "id LONG, ts TIMESTAMP, tool STRING, query STRING, filters STRING, results ARRAY<STRING>, follow_up STRING"
+FOLLOW_UPS = "log_id LONG, follow_up STRING, at TIMESTAMP"
+#: The text index: each place of a term with its document's length, the lengths, and the one row of statistics that scores need.
+POSTINGS = "term STRING, id LONG, field STRING, pos INT, dl LONG"
+LENGTHS = "id LONG, dl LONG"
+TEXT_STATS = "n_docs LONG, total LONG"
 RAW_ISSUE = (
     "number LONG, kind STRING, title STRING, body STRING, state STRING, labels ARRAY<STRING>, comments_count LONG, "
     "author STRING, created_at STRING, updated_at STRING"
@@ -29,4 +34,10 @@ TABLES = {
     "sync_state": SYNC_STATE,
     "manifest": MANIFEST,
     "query_log": QUERY_LOG,
+    "follow_ups": FOLLOW_UPS,
+    "postings": POSTINGS,
+    "lengths": LENGTHS,
+    "text_stats": TEXT_STATS,
 }
+#: What folders of tables that only grow begin with.
+APPENDED = "appended"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
@@ -51,18 +52,36 @@ class BagOfWords:
         return f"words[dim={self.dim}]|test|len=512"
 
 
+class ContentHash:
+    """A vector made of a stable 64-bit hash's bytes, over and over, each place a little greater than the one before; for tests."""
+
+    def __init__(self, dim: int = 1024):
+        self.dim = dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        seeds = (np.frombuffer(hashlib.blake2b(t.encode(), digest_size=8).digest(), np.uint8) for t in texts)
+        return [((np.resize(s, self.dim).astype(np.float64) - 128) / 128 + np.arange(self.dim) * 1e-6).astype(np.float32).tolist() for s in seeds]
+
+    def fingerprint(self) -> str:
+        return f"hash[dim={self.dim}]|test|len=512"
+
+
 class HttpEmbedder:
     """An endpoint of the common embeddings format; waits 1, 2 and 4 s where limited."""
 
-    def __init__(self, base: str, key: str, model: str, dimensions: int | None = None, batch: int = BATCH, timeout: float = 60):
+    def __init__(self, base: str, key: str, model: str, dimensions: int | None = None, batch: int = BATCH, timeout: float = 60, interval: float = 0.0, proxy: str | None = None):
+        """``interval``: seconds between the beginnings of two calls of one task."""
         self.base, self.key, self.model, self.dimensions, self.batch, self.timeout = base.rstrip("/"), key, model, dimensions, batch, timeout
+        self.interval, self.proxy, self._last = interval, proxy, -1e9
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out: list[list[float]] = []
         for k in range(0, len(texts), self.batch):
             part = texts[k : k + self.batch]
+            time.sleep(max(0.0, self._last + self.interval - time.monotonic()))
+            self._last = time.monotonic()
             body = {"model": self.model, "input": part} | ({"dimensions": self.dimensions} if self.dimensions else {})
-            data = sorted(_post(f"{self.base}/embeddings", self.key, body, self.timeout)["data"], key=lambda d: d.get("index", 0))
+            data = sorted(_post(f"{self.base}/embeddings", self.key, body, self.timeout, self.proxy)["data"], key=lambda d: d.get("index", 0))
             if len(data) != len(part):
                 raise SourceError(f"{len(data)} vectors for {len(part)} texts")
             out += [unit(np.asarray(d["embedding"], np.float64)).astype(np.float32).tolist() for d in data]
@@ -73,11 +92,16 @@ class HttpEmbedder:
         return f"{self.model}{dim}|api|len=512"
 
 
-def _post(url: str, key: str, body: dict, timeout: float) -> dict:
+def opener(proxy: str | None = None) -> urllib.request.OpenerDirector:
+    """Requests through a proxy, or the environment's if none is given."""
+    return urllib.request.build_opener(urllib.request.ProxyHandler({"http": proxy, "https": proxy}) if proxy else urllib.request.ProxyHandler())
+
+
+def _post(url: str, key: str, body: dict, timeout: float, proxy: str | None = None) -> dict:
     headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
     for wait in (1, 2, 4, None):
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
+            with opener(proxy).open(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
                 return json.loads(r.read())
         except urllib.error.HTTPError as e:
             if e.code != 429 or wait is None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SourceError
 from ..schema import COMMENT_PAGE, ISSUE_PAGE
+from .embedder import opener
 
 SPACING_S, LOW_QUOTA, MAX_LIMITED = 0.2, 200, 3
 BACKOFF_S = (2, 4, 8)
@@ -66,14 +67,14 @@ def retry_after(headers: dict[str, str], default: float = 60.0) -> float:
 class Rest:
     """Pages of a REST tracker; transport, clock and sleep can be given, so tests need no network."""
 
-    def __init__(self, base: str, token: str | None = None, get: Callable | None = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time):
+    def __init__(self, base: str, token: str | None = None, get: Callable | None = None, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time, proxy: str | None = None):
         self.base, self.token, self.sleep, self.now = base.rstrip("/"), token, sleep, now
-        self._get, self._last = get or self._http, -1e9
+        self._get, self._last, self._opener = get or self._http, -1e9, opener(proxy)
 
     def _http(self, url: str) -> tuple[int, dict[str, str], str]:
         headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=60) as r:
+            with self._opener.open(urllib.request.Request(url, headers=headers), timeout=60) as r:
                 return r.status, {k.lower(): v for k, v in r.headers.items()}, r.read().decode()
         except urllib.error.HTTPError as e:
             return e.code, {k.lower(): v for k, v in e.headers.items()}, e.read().decode(errors="replace")

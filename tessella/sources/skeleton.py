@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import os
-import urllib.request
+import tarfile
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..errors import ConfigError, FingerprintMismatch
 from ..functions import fingerprint
 from ..operators import index
 from ..schema import ISSUES, TABLES
+from .embedder import opener
 from .store import IndexStore
 
 #: What leaves the index, and the manifest's keys that do.
@@ -76,8 +79,7 @@ def gunzip_if_needed(raw: bytes) -> bytes:
 def download(address: str, path: str, proxy: str | None = None) -> bytes:
     """A local file's or an address' bytes, unpacked if they are compressed, also written to ``path``."""
     if address.startswith(("http://", "https://")):
-        handler = urllib.request.ProxyHandler({"http": proxy, "https": proxy} if proxy else {})
-        with urllib.request.build_opener(handler).open(address, timeout=120) as r:
+        with opener(proxy).open(address, timeout=120) as r:
             raw = r.read()
     else:
         with open(address, "rb") as f:
@@ -87,3 +89,24 @@ def download(address: str, path: str, proxy: str | None = None) -> bytes:
         f.write(made)
     os.replace(f"{path}.part", path)
     return made
+
+
+def is_archive(source: str) -> bool:
+    """Whether a skeleton comes as an archive, from an address or a file, rather than as a folder."""
+    return source.startswith(("http://", "https://")) or source.endswith((".tar", ".tar.gz", ".tgz"))
+
+
+def unpacked(store: IndexStore, source: str, proxy: str | None = None) -> str:
+    """The folder of an archived skeleton, put beside the index, where all executors can read it."""
+    target = f"{store.home}/fetched-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as own:  # the driver's; executors read the copy
+        download(source, f"{own}/skeleton.tar", proxy)
+        with tarfile.open(f"{own}/skeleton.tar") as tar:
+            tar.extractall(f"{own}/out", filter="data")
+        found = [d for d, names, _ in os.walk(f"{own}/out") if {"issues", "issues_vec", "manifest"} <= set(names)]
+        if not found:
+            raise ConfigError(f"{source} holds no skeleton")
+        jvm = store.spark.sparkContext._jvm
+        to = jvm.org.apache.hadoop.fs.Path(target)
+        to.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{found[0]}"), to)
+    return target

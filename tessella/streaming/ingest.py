@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import index
+from ..operators import bm25, index
 from ..schema import RAW_ISSUE
 from ..sources.store import IndexStore
 
@@ -25,7 +25,13 @@ def merge_batch(store: IndexStore, repo: str):
         newest = index.latest(batch, ["number"], "updated_at").withColumn("repo", F.lit(repo))
         stored = old.where(F.col("repo") == repo).select("number", F.col("updated_at").alias("_stored"))
         fresh = newest.join(stored, "number", "left").where(F.col("_stored").isNull() | (F.col("updated_at") >= F.col("_stored"))).drop("_stored")
-        store.publish({"issues": index.upsert(old, fresh)})
+        merged = index.upsert(old, fresh).persist()
+        try:
+            changed = merged.join(fresh.select("repo", "number"), ["repo", "number"], "left_semi")
+            stored = bm25.TextIndex(store.table("postings"), store.table("lengths"), store.table("text_stats"))
+            store.publish({"issues": merged, **bm25.stored(bm25.updated(stored, changed))})
+        finally:
+            merged.unpersist()
 
     return run
 

@@ -11,7 +11,8 @@ from tessella.config import Config
 from tessella.errors import ConfigError, FingerprintMismatch, IndexMissing, SourceError, TessellaError
 from tessella.functions import fingerprint
 from tessella.operators.sync import sync_repo
-from tessella.schema import RAW_COMMENT, RAW_ISSUE
+from tessella.operators import querylog
+from tessella.schema import FOLLOW_UPS, ISSUES, QUERY_LOG, RAW_COMMENT, RAW_ISSUE, VECTORS
 from tessella.sources import github, raw, skeleton
 from tessella.sources.embedder import BagOfWords, parse_grade
 from tessella.sources.store import IndexStore
@@ -58,6 +59,83 @@ def test_raw_merge(spark, tmp_path):
     assert raw.RawStore(spark, str(tmp_path)).load("t/none").collect() == []
 
 
+def test_pages_are_durable_and_merged_once(spark, tmp_path):
+    store = raw.RawStore(spark, str(tmp_path))
+    row = lambda n, title, at: spark.createDataFrame([(n, "issue", title, "b", "open", [], 0, "me", at, at)], RAW_ISSUE)
+    for n in range(4):
+        store.stage("t/a", "issues", row(n % 3, f"t{n}", "2024-01-01"))
+    assert {r.number: r.title for r in store.read("t/a", "issues").collect()} == {0: "t3", 1: "t1", 2: "t2"}
+    home = tmp_path / "raw" / "t__a" / "issues"
+    assert len([p for p in (home / "pages").iterdir() if p.is_dir()]) == 4 and not list(home.glob("CURRENT-*"))
+    store.merge("t/a", "issues")
+    assert {r.number: r.title for r in store.read("t/a", "issues").collect()} == {0: "t3", 1: "t1", 2: "t2"}
+    assert len(list(home.glob("CURRENT-*"))) == 1 and not [p for p in (home / "pages").iterdir() if p.is_dir()]
+
+
+def test_pointers(spark, tmp_path):
+    from tessella.errors import StoreConflict
+    from tessella.sources.pointer import Pointer
+
+    one, two = Pointer(spark, str(tmp_path)), Pointer(spark, str(tmp_path))
+    assert one.read() == (0, None)
+    n = one.swap({"a": "x"}, 0)
+    with pytest.raises(StoreConflict):
+        two.swap({"a": "lost"}, 0)
+    assert two.read() == (n, {"a": "x"})
+    (tmp_path / f"CURRENT-{n + 1:012d}").write_text('{"a": "cut o')  # a writer that died
+    assert one.read() == (n, {"a": "x"})
+    m = one.swap({"a": "y"}, n)
+    assert m == n + 2 and two.read() == (m, {"a": "y"})
+    assert one.drop_before(1) == ([{"a": "x"}], [{"a": "y"}]) and two.read() == (m, {"a": "y"})
+
+
+def test_old_versions_go_and_logs_only_grow(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path))
+    store.create()
+    for k in range(6):
+        store.publish({"manifest": store.with_manifest("n", str(k))})
+    assert store.manifest("n") == "5" and len(list((tmp_path / "index").glob("manifest-*"))) == 3
+    from datetime import datetime
+
+    entry = lambda i, results: spark.createDataFrame([(i, datetime(2024, 1, i), "search_issues", "q", None, results, None)], QUERY_LOG)
+    for i in (1, 2):
+        store.append("query_log", entry(i, ["r#1"]))
+    before = store.versions()
+    mark = querylog.follow_up(store.table("query_log"), "r#1", datetime(2024, 2, 1)).first()
+    store.append("follow_ups", spark.createDataFrame([tuple(mark)], FOLLOW_UPS))
+    assert {r.id: r.follow_up for r in store.table("query_log").collect()} == {1: None, 2: "r#1"} and store.versions() == before
+
+
+def test_archived_skeletons(spark, tmp_path):
+    import tarfile
+
+    store = IndexStore(spark, str(tmp_path / "a"))
+    store.publish({"issues": spark.createDataFrame([(1, "r", 1, "issue", "t", "b", "open", ["x"], "me", 0, "", "2024", "h")], ISSUES), "issues_vec": spark.createDataFrame([(1, [1.0, 0.0])], VECTORS), "manifest": store.with_manifest("embedding_fp", "m|api|len=512|text=1") if store.exists() else spark.createDataFrame([("embedding_fp", fingerprint.full("m|api|len=512"))], "key string, value string")})
+    skeleton.export(store, str(tmp_path / "out"))
+    with tarfile.open(tmp_path / "s.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "out", "skeleton")
+    other = IndexStore(spark, str(tmp_path / "b"))
+    folder = skeleton.unpacked(other, str(tmp_path / "s.tar.gz"))
+    assert skeleton.load(other, folder, fingerprint.full("m|api|len=512"))["issues"] == 1
+    with pytest.raises(ConfigError):
+        (tmp_path / "none").mkdir()
+        with tarfile.open(tmp_path / "n.tar", "w") as tar:
+            tar.add(tmp_path / "none", "x")
+        skeleton.unpacked(other, str(tmp_path / "n.tar"))
+
+
+def test_calls_are_spaced_and_go_through_the_proxy(monkeypatch):
+    from tessella.sources import embedder as E
+
+    seen, slept = [], []
+    monkeypatch.setattr(E, "_post", lambda url, key, body, timeout, proxy=None: seen.append(proxy) or {"data": [{"embedding": [3.0, 4.0]} for _ in body["input"]]})
+    monkeypatch.setattr(E.time, "sleep", slept.append)
+    got = E.HttpEmbedder("http://h", "", "m", batch=1, interval=5.0, proxy="http://p").embed(["a", "b"])
+    assert got[1] == pytest.approx([0.6, 0.8]) and seen == ["http://p"] * 2 and slept[0] == 0 and 4 < slept[1] <= 5
+    one, two = E.ContentHash(16).embed(["a", "b"])
+    assert one != two and one == E.ContentHash(16).embed(["a"])[0] and len(one) == 16
+
+
 def test_pages(spark):
     page = json.dumps([issue(1, None, "2024", body=None, user=None), issue(2, "t", "2024", pull_request={"url": "u"})])
     rows = github.parse_issues(spark.createDataFrame([("t/a", page)], "repo string, json string")).collect()
