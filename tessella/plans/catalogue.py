@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vector import dot, l2_normalise
+from ..functions.vector import decode_f32, dot, encode_f32, l2_normalise
 from ..operators import bm25, context, duplicates, evaluate, index, querylog, relations, retrieve
 from ..operators import vectors as V
 from ..operators.filters import SearchFilter
+from ..session import shared_dir
+from ..sources import github, raw
 from . import tables as R
 
 QUERIES: dict = {}
@@ -89,7 +91,7 @@ def _rounded(hits: DataFrame) -> DataFrame:
 @query(_hybrid_sql("TRUE", [TERM], 10))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = R.issues(spark, sf_dir)
-    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), bm25.build(issues), R.query_vector(spark, sf_dir), TERM, top_k=10, decimals=DECIMALS))
+    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), R.text_index(spark, sf_dir), R.query_vector(spark, sf_dir), TERM, top_k=10, decimals=DECIMALS))
 
 
 FILTER = SearchFilter(repos=["src0", "src1", "src2", "src3"], state="open", labels=["EN"])
@@ -98,14 +100,14 @@ FILTER = SearchFilter(repos=["src0", "src1", "src2", "src3"], state="open", labe
 @query(_hybrid_sql("i.repo IN ('src0', 'src1', 'src2', 'src3') AND i.state = 'open' AND list_contains(list_transform(i.labels, lambda x: lower(x)), 'en')", [TERM], 10))
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = R.issues(spark, sf_dir)
-    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), bm25.build(issues), R.query_vector(spark, sf_dir), TERM, FILTER, 10, decimals=DECIMALS))
+    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), R.text_index(spark, sf_dir), R.query_vector(spark, sf_dir), TERM, FILTER, 10, decimals=DECIMALS))
 
 
 @query(_hybrid_sql("FALSE", [TERM], 10))
 def hybrid_no_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty list of repositories matches nothing."""
     issues = R.issues(spark, sf_dir)
-    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), bm25.build(issues), R.query_vector(spark, sf_dir), TERM, SearchFilter(repos=[]), 10, decimals=DECIMALS))
+    return _rounded(retrieve.hybrid_search(issues, R.vectors(spark, sf_dir), R.text_index(spark, sf_dir), R.query_vector(spark, sf_dir), TERM, SearchFilter(repos=[]), 10, decimals=DECIMALS))
 
 
 @query(f"WITH {ISSUES_SQL}, {_vec_sql(top=20)} SELECT id, sim, rank::INT AS rank FROM vec")
@@ -127,14 +129,14 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ISSUES_SQL}, {_bm25_sql([TERM], top=25)} SELECT id, bm25 FROM fts")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = R.issues(spark, sf_dir)
-    return bm25.search(bm25.build(issues), issues, TERM, 25, decimals=DECIMALS)
+    return bm25.search(R.text_index(spark, sf_dir), issues, TERM, 25, decimals=DECIMALS)
 
 
 @query(f"WITH {ISSUES_SQL}, {_bm25_sql(['the', 'ndon', 'ndon'], top=25)} SELECT id, bm25 FROM fts")
 def bm25_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word must be there, and a repeated one counts again."""
     issues = R.issues(spark, sf_dir)
-    return bm25.search(bm25.build(issues), issues, "the ndon NDON", 25, decimals=DECIMALS)
+    return bm25.search(R.text_index(spark, sf_dir), issues, "the ndon NDON", 25, decimals=DECIMALS)
 
 
 @query(
@@ -147,7 +149,7 @@ SELECT id, f FROM pairs"""
 )
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined words are a phrase, within one field."""
-    return bm25.matches(bm25.build(R.issues(spark, sf_dir)), "of-the").select("id", "f")
+    return bm25.matches(R.text_index(spark, sf_dir), "of-the").select("id", "f")
 
 
 @query(
@@ -172,7 +174,7 @@ ORDER BY score + 0.3 * (2.0::DOUBLE / 61) * title_sim DESC, score DESC, id LIMIT
 )
 def check_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = R.issues(spark, sf_dir)
-    return _rounded(duplicates.check_duplicate(issues, R.vectors(spark, sf_dir), bm25.build(issues), R.query_vector(spark, sf_dir), "of the", decimals=DECIMALS))
+    return _rounded(duplicates.check_duplicate(issues, R.vectors(spark, sf_dir), R.text_index(spark, sf_dir), R.query_vector(spark, sf_dir), "of the", decimals=DECIMALS))
 
 
 @query(
@@ -201,8 +203,8 @@ def rrf_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = R.read(spark, sf_dir, "embeddings")
     qs = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
     near = V.top_k_batch(emb.select(F.col("vec_id").alias("id"), "embedding"), qs.select("qid", "embedding"), 30, DECIMALS).select("qid", "id", "rank")
-    same = emb.select(F.col("vec_id").alias("id"), "label").join(qs.select("qid", "label"), "label")
-    by_label = same.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where("rank <= 30").select("qid", "id", "rank")
+    first = emb.select(F.col("vec_id").alias("id"), "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where("rank <= 30")
+    by_label = first.join(qs.select("qid", "label"), "label").select("qid", "id", "rank")
     fused = near.unionByName(by_label).groupBy("qid", "id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where("rank <= 10")
 
@@ -333,9 +335,9 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentioning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues whose bodies mention two others."""
+    """Issues whose whole texts end with mentions of two others; the tables' texts have none of their own."""
     tail = F.concat(F.lit("This fixes #"), F.col("number") % 50, F.lit("\nsee org/lib#"), F.col("number") % 7, F.lit(" too"))
-    return R.issues(spark, sf_dir).select("repo", "number", F.lit("Title").alias("title"), tail.alias("body"))
+    return R.issues(spark, sf_dir).select("repo", "number", "title", F.concat("body", F.lit("\n"), tail).alias("body"))
 
 
 _EDGES_SQL = f"""{ISSUES_SQL}, edges AS (
@@ -365,15 +367,16 @@ def relations_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repo", "number", *[F.array_join(c, ",").alias(c) for c in ("fixes", "closes", "refs", "fixed_by")])
 
 
-@query("SELECT page_id, 'see [图片] and [图片] end' AS body FROM pages")
+@query("SELECT page_id, html || ' see [图片] and [图片] end' AS body FROM pages")
 def strip_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit("see ![shot]("), F.col("url"), F.lit(") and https://h/i"), F.col("page_id"), F.lit(".PNG?x=1 end"))
+    """Whole pages, which have no images of their own, with two at the end."""
+    body = F.concat("html", F.lit(" see ![shot]("), F.col("url"), F.lit(") and https://h/i"), F.col("page_id"), F.lit(".PNG?x=1 end"))
     return R.read(spark, sf_dir, "pages").select("page_id", T.strip_image_links(body).alias("body"))
 
 
-@query("SELECT doc_id AS id, '导出 CSV 中文 文乱 乱码 ' || doc_id AS text FROM documents")
+@query("SELECT doc_id AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') || ' 导出 CSV 中文 文乱 乱码 ' || doc_id AS text FROM documents")
 def cjk_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.issues(spark, sf_dir).select("id", T.cjk_bigram(F.concat(F.lit("导出 CSV 中文乱码"), F.col("id"))).alias("text"))
+    return R.issues(spark, sf_dir).select("id", T.cjk_bigram(F.concat("body", F.lit("导出 CSV 中文乱码"), F.col("id"))).alias("text"))
 
 
 @query(
@@ -393,16 +396,16 @@ def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranking for each source: its labelled documents by id, the first eight, graded by their labels."""
+    """A ranking for each source: all its labelled documents by id, graded by their labels."""
     from pyspark.sql import Window
 
     both = R.read(spark, sf_dir, "labels").join(R.read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 8")
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return ranked.select(F.col("source").alias("query"), "rank", F.col("source").alias("repo"), F.col("doc_id").alias("number"), (F.col("quality") * (2 - F.col("toxic")) * (F.col("doc_id") % 3 > 0).cast("int")).alias("grade"))
 
 
 _GRADED_SQL = """graded AS (SELECT source AS query, rank, doc_id, quality * (2 - toxic) * (CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END) AS grade FROM (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM labels JOIN documents USING (doc_id)) WHERE rank <= 8)"""
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM labels JOIN documents USING (doc_id)))"""
 _METRICS_SQL = f"""{_GRADED_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, rank) AS b FROM graded),
 sums AS (SELECT query, sum(CASE WHEN rank <= 5 THEN (2 ** grade - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN b <= 5 THEN (2 ** grade - 1) / log2(b + 1) ELSE 0 END) AS ideal,
   min(CASE WHEN rank <= 5 AND grade > 0 THEN rank END) AS first, count(CASE WHEN rank <= 5 AND grade > 0 THEN 1 END) AS found, count(CASE WHEN grade > 0 THEN 1 END) AS rel FROM best GROUP BY query),
@@ -423,13 +426,13 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_GRADED_SQL}, pairs AS (SELECT *, (doc_id % 3)::INT AS expected FROM graded WHERE doc_id % 2 = 0)
+    f"""WITH {_GRADED_SQL}, pairs AS (SELECT *, (doc_id % 3)::INT AS expected FROM graded)
 SELECT count(*) AS n_anchors, count(CASE WHEN grade <> expected THEN 1 END) AS n_wrong, CASE WHEN count(*) > 0 THEN count(CASE WHEN grade <> expected THEN 1 END)::DOUBLE / count(*) ELSE 0 END AS drift,
   CASE WHEN count(*) > 0 THEN count(CASE WHEN grade <> expected THEN 1 END)::DOUBLE / count(*) ELSE 0 END <= 0.2 AS valid FROM pairs"""
 )
 def anchor_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = _graded(spark, sf_dir)
-    anchors = graded.where("number % 2 = 0").select("query", "repo", "number", (F.col("number") % 3).cast("int").alias("expected_grade"))
+    anchors = graded.select("query", "repo", "number", (F.col("number") % 3).cast("int").alias("expected_grade"))
     return evaluate.drift(graded, anchors).drop("samples")
 
 
@@ -457,9 +460,9 @@ def comments_of_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.comments(spark, sf_dir).where("issue_id = 3").orderBy("idx")
 
 
-@query("SELECT DISTINCT number FROM (SELECT doc_id AS number FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT conv_id FROM conversations)")
+@query("SELECT DISTINCT number FROM (SELECT doc_id AS number FROM documents UNION ALL SELECT conv_id FROM conversations)")
 def touched_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.touched(R.issues(spark, sf_dir).where("id % 10 = 0"), R.comments(spark, sf_dir).withColumnRenamed("issue_id", "issue_number"))
+    return index.touched(R.issues(spark, sf_dir), R.comments(spark, sf_dir).withColumnRenamed("issue_id", "issue_number"))
 
 
 @query(f"WITH {ISSUES_SQL} SELECT max(updated_at) AS cursor FROM issues WHERE updated_at >= '2024-01-05T00:00:00Z'")
@@ -477,3 +480,79 @@ def skeleton_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = skeleton.issues_without_text(R.issues(spark, sf_dir))
     flags = index.has_vector(bare, R.vectors(spark, sf_dir)).select("id", "has_vec")
     return bare.select("id", "repo", "kind", "number", "state", "updated_at", "title", "body", "comments_count").join(flags, "id")
+
+
+@query(f"WITH {ISSUES_SQL} SELECT id, repo, number, title, state FROM issues WHERE number = 5 AND repo = (SELECT repo FROM issues WHERE id = 5)")
+def issue_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = R.issues(spark, sf_dir)
+    repo = issues.where("id = 5").select("repo").first()[0]
+    return context.issue(issues, repo, 5).select("id", "repo", "number", "title", "state")
+
+
+@query(f"WITH {ISSUES_SQL} SELECT 'r/t' AS repo, number, kind, title, md5(body) AS body_md5, state, array_to_string(labels, ',') AS labels, author, comments_count, created_at, updated_at FROM issues")
+def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues as pages of a hundred, read back."""
+    row = F.struct(
+        "id", "number", "title", "body", "state", F.transform("labels", lambda x: F.struct(x.alias("name"))).alias("labels"), F.col("comments_count").alias("comments"), "created_at", F.struct(F.col("author").alias("login")).alias("user"),
+        "updated_at", F.when(F.col("kind") == "pr", F.struct(F.lit("u").alias("url"))).alias("pull_request"),
+    )
+    pages = R.issues(spark, sf_dir).groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.to_json(F.collect_list(row)).alias("json")).select(F.lit("r/t").alias("repo"), "json")
+    out = github.parse_issues(pages)
+    return out.withColumn("labels", F.array_join("labels", ",")).withColumn("body_md5", F.md5(F.col("body").cast("binary"))).drop("body")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, conv_id AS issue_number, role AS author, text AS body, 'x' AS created_at FROM conversations WHERE trim(text) <> ''")
+def comment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All comments as a page for each issue, read back."""
+    row = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.struct(F.col("role").alias("login")).alias("user"), F.col("text").alias("body"), F.concat(F.lit("https://h/repos/t/a/issues/"), "conv_id").alias("issue_url"), F.lit("x").alias("created_at"))
+    pages = R.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(row)).alias("json"))
+    return github.parse_comments(pages.select("json"))
+
+
+@query(f"WITH {ISSUES_SQL}, said AS (SELECT conv_id AS number, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS talk FROM conversations GROUP BY conv_id) SELECT repo, number, kind, title, md5(body) AS body_md5, updated_at, coalesce(n, 0) AS n_comments, coalesce(talk, '') AS talk FROM (SELECT * REPLACE ('r/t' AS repo) FROM issues) LEFT JOIN said USING (number)")
+def raw_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues and comments landed as compressed lines, merged, and loaded with their comments."""
+    import uuid
+
+    store = raw.RawStore(spark, f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}")
+    store.merge_issues("r/t", raw.to_raw(R.issues(spark, sf_dir)))
+    talk = R.read(spark, sf_dir, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").alias("issue_number"), F.col("role").alias("author"), F.col("text").alias("body"), F.lit("").alias("created_at"))
+    store.merge_comments("r/t", talk.withColumn("id", F.col("issue_number") * 1000 + F.col("id")))
+    said = F.array_join(F.transform("comments", lambda c: F.concat(c["author"], F.lit(": "), c["body"])), "\n")
+    return store.load("r/t").select("repo", "number", "kind", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "updated_at", F.size("comments").cast("long").alias("n_comments"), said.alias("talk"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT * FROM edges WHERE number % 3 <> 0")
+def relations_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third issue is touched and has no mentions any more."""
+    issues = _mentioning(spark, sf_dir)
+    edges = relations.extract(issues)
+    return relations.replace(edges, issues.where("number % 3 = 0"), edges.limit(0))
+
+
+@query(f"WITH {ISSUES_SQL}, {_bm25_sql([TERM], top=10)} SELECT 7::BIGINT AS id, 'search_issues' AS tool, '{TERM}' AS query, string_agg(repo || '#' || number, ',' ORDER BY bm25, i.id) AS results FROM fts JOIN issues i ON i.id = fts.id")
+def log_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = R.issues(spark, sf_dir)
+    hits = bm25.search(R.text_index(spark, sf_dir), issues, TERM, 10, decimals=DECIMALS).join(issues.select("id", "repo", "number"), "id").withColumn("score", -F.col("bm25"))
+    return querylog.entry(hits, 7, R.NOW, "search_issues", TERM, None).select("id", "tool", "query", F.array_join("results", ",").alias("results"))
+
+
+@query("SELECT vec_id, len(embedding) * 4 AS n_bytes, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def blob_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as blobs of 32-bit floats and back."""
+    blobs = R.read(spark, sf_dir, "embeddings").select("vec_id", encode_f32(F.col("embedding")).alias("blob"))
+    back = blobs.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), decode_f32(F.col("blob")).alias("v"))
+    return back.select("vec_id", "n_bytes", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 4 THEN doc_id END AS number FROM documents")
+def number_of_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth address ends in no number."""
+    url = F.concat(F.lit("https://h/repos/"), "repo", F.lit("/issues/"), F.col("number"), F.when(F.col("id") % 5 == 4, "x").otherwise(""))
+    return R.issues(spark, sf_dir).select("id", github.issue_number(url).alias("number"))
+
+
+@query(f"WITH {_LOG_SQL} SELECT DISTINCT query FROM (SELECT query FROM part WHERE tool = 'search_issues' UNION ALL SELECT text FROM benchmark)")
+def evaluation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchors = R.read(spark, sf_dir, "benchmark").select(F.col("text").alias("query"))
+    return evaluate.queries_of(querylog.recent_queries(R.log(spark, sf_dir), 10, R.NOW), anchors)

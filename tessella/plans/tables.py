@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bm25
+from ..session import written
 
 NOW = "2024-01-31 00:00:00"
 
@@ -55,5 +56,19 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_index(issue_table: DataFrame) -> bm25.TextIndex:
-    return bm25.build(issue_table)
+_indexes: dict[tuple, bm25.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
+    """The stored text index of the documents, as a sync keeps it; built once in a session for each state of the table's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(path)
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _indexes:
+        index = bm25.build(issues(spark, sf_dir))
+        lengths = written(index.lengths, "lengths")
+        made = bm25.stored(bm25.TextIndex(index.postings, lengths, bm25.stats_of(lengths)))
+        _indexes[key] = bm25.TextIndex(written(made["postings"], "postings"), lengths, written(made["text_stats"], "text-stats"))
+    return _indexes[key]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tessella", **settings: str) -> SparkSession:
@@ -11,3 +14,25 @@ def session(app: str = "tessella", **settings: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+#: Used only where the session names no folder for checkpoints and all executors are threads of one machine, as in tests.
+LOCAL_SHARED = "/tmp/checkpoints/tessella"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; without it, a cluster's executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written to the shared folder and read again: lineage is cut in storage that outlives executors. The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

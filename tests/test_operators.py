@@ -154,6 +154,61 @@ def test_evenly(spark):
     assert querylog.evenly(spark.range(0), 8, "id").collect() == []
 
 
+def test_positions_of_many_rows(spark):
+    """A million rows with further columns, in an order of two columns and with nulls, against a global sort."""
+    n, k = 1_000_000, 3000
+    df = spark.range(n).select((F.col("id") * 48271 % 1000003).alias("b"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("a"), F.lit("x").alias("c"), F.rand(3).alias("d"), "id")
+    got = querylog.evenly(df, k, "a", "b", "id").collect()
+    rows = df.select("a", "b", "id").toPandas().sort_values(["a", "b", "id"], na_position="first")
+    stride = n // k
+    want = rows.iloc[: stride * k : stride]["id"].tolist()
+    assert len(got) == k and {r.id for r in got} == set(want) and all(r.c == "x" for r in got)
+
+
+def test_positions_with_one_key_and_none(spark):
+    from tessella.operators.order import numbered
+
+    same = spark.range(50).select(F.lit(1).alias("a"), "id")
+    assert sorted(r._at for r in numbered(same, "a").collect()) == list(range(50))
+    assert numbered(same.limit(0), "a", "id").collect() == []
+    assert [r._at for r in numbered(same, "a", "id").orderBy("id").collect()] == list(range(50))
+
+
+def test_ties_are_settled_alike(spark):
+    rows = [("k", 1, x, [x]) for x in "cab"] * 3
+    df = spark.createDataFrame(rows, "key string, at int, v string, labels array<string>")
+    for n in (1, 5):
+        assert index.latest(df.repartition(n), ["key"], "at").first().v == "c"
+
+
+def test_dimensions_must_agree(world):
+    from tessella.errors import DimensionMismatch
+
+    with pytest.raises(DimensionMismatch):
+        retrieve.hybrid_search(*world[:3], [1.0, 0.0], "login")
+
+
+def test_a_stored_index_finds_the_same_and_reads_no_text(world, spark, tmp_path):
+    issues, _, idx, _ = world
+    for name, df in bm25.stored(idx).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    there = bm25.TextIndex(*[spark.read.parquet(f"{tmp_path}/{n}") for n in ("postings", "lengths", "text_stats")])
+    for q in ("login loop", "中文乱码", "memory", "dark-mode", "nothing"):
+        made = bm25.search(there, issues, q, 10)
+        assert [tuple(r) for r in made.collect()] == [tuple(r) for r in bm25.search(idx, issues, q, 10).collect()]
+        assert "title" not in made._jdf.queryExecution().executedPlan().toString()
+    changed = issues.where("id = 1").withColumn("title", F.lit("zebra"))
+    new = bm25.updated(there, changed)
+    assert [r.id for r in bm25.search(new, issues, "zebra", 10).collect()] == [1] and new.stats.first().n_docs == 6
+    assert bm25.search(new, issues, "redirect", 10).collect() == []
+
+
+def test_queries_of_keeps_the_order(spark):
+    recent = spark.createDataFrame([("a",), ("c",)], "query string")
+    anchors = spark.createDataFrame([("z",), ("a",), ("b",), ("z",)], "query string")
+    assert [r.query for r in evaluate.queries_of(recent, anchors).collect()] == ["a", "c", "z", "b"]
+
+
 def test_upsert_keeps_ids(spark):
     old = spark.createDataFrame([(7, "r", 1, "a"), (9, "r", 2, "b")], "id long, repo string, number long, title string")
     new = spark.createDataFrame([("r", 2, None), ("r", 5, "e"), ("q", 1, "f")], "repo string, number long, title string")
