@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir, written  # noqa: F401  for the operators
+
 #: Bounds of one Arrow batch, so that a worker's memory doesn't depend on the table's size.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
-#: Used only where the session names no folder for checkpoints and all executors are threads of one machine, as in tests.
-LOCAL_SHARED = "/tmp/checkpoints/tessella"
-
 
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
@@ -30,29 +27,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; without it, a cluster's executors would each write to a disk of their own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or LOCAL_SHARED).rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again.
-
-    This cuts the lineage in storage that outlives executors. The folder goes when the
-    application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def per_row(df: DataFrame, columns: list[str], schema: str, fn: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """Run ``fn`` over the rows of Arrow batches: it takes tuples of ``columns`` and yields output tuples.
 
