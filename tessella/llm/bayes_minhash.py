@@ -199,25 +199,25 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """Every linked node with the smallest node of its component: node, component.
 
-    Alternates large and small stars until the edges point at the smallest nodes; the edges are
-    written after each turn, and neither edges nor nodes reach the driver.
+    Alternates large and small stars until every node has one edge, to a node that has none
+    onwards; the edges are written after each turn, and neither edges nor nodes reach the driver.
+    The least neighbours are written before edges are joined with them, so that adaptive execution
+    can split the edges of a hot node; after a large star no node has many edges to smaller ones.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
     while True:
+        up = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        onwards = edges.select("v").distinct().join(up, F.col("v") == F.col("u"), "left_semi")
+        if up.where("lo <> hi").select("u").unionByName(onwards.toDF("u")).isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = written(around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-stars")
-        small_least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(small_least, "u")
+        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
             "stars",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
 
 
 def _similar_sizes(a, b, percent: int):

@@ -39,3 +39,23 @@ def test_bands_miss_next_to_nothing():
     assert bayes_minhash.bands_for(85) == (32, 6)
     for percent in (80, 85, 90):
         assert bayes_minhash.shares_no_band(percent, *bayes_minhash.bands_for(percent)) <= 1e-6
+
+
+def test_components_of_any_shape(spark):
+    """Chains, cycles, stars and random graphs, against union and find."""
+    rng = random.Random(32)
+    links = [(k, k + 1) for k in range(100, 140)] + [(200 + k, 200 + (k + 1) % 9) for k in range(9)] + [(300, 300 + k) for k in range(1, 60)] + [(459, 400 + k) for k in range(59)]
+    links += [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(110)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in bayes_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert bayes_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
