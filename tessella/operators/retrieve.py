@@ -12,6 +12,14 @@ from . import bm25, vectors
 from .filters import SearchFilter, SearchParams
 
 
+#: Hits that are broadcast, at most; beyond, the join is left to adaptive execution.
+FEW = 10_000
+
+
+def _few(hits: DataFrame, top_k: int) -> DataFrame:
+    return F.broadcast(hits) if top_k <= FEW else hits
+
+
 def rrf(vec: DataFrame, fts: DataFrame, k: int = 60) -> DataFrame:
     """id, score, source of two ranked legs (id, rank), fused by reciprocal ranks, best first; ties go to the smaller id."""
     both = vec.select("id", F.col("rank").alias("vr")).join(fts.select("id", F.col("rank").alias("fr")), "id", "full_outer")
@@ -49,7 +57,7 @@ def hybrid_search(issues: DataFrame, vecs: DataFrame, index: bm25.TextIndex, qve
     """
     hits = fused(issues, vecs, index, qvec, query, where, top_k, params, decimals)
     wide = issues.select("id", "repo", "number", F.coalesce("kind", F.lit("issue")).alias("kind"), F.coalesce("title", F.lit("")).alias("title"), "state", snippet(F.col("body"), params.snippet_chars).alias("snippet"))
-    return F.broadcast(hits).join(wide, "id").select("id", "repo", "number", "kind", "title", "state", "snippet", "score", "source").orderBy(F.desc("score"), "id")  # top_k hits
+    return _few(hits, top_k).join(wide, "id").select("id", "repo", "number", "kind", "title", "state", "snippet", "score", "source").orderBy(F.desc("score"), "id")
 
 
 def find_related(issues: DataFrame, vecs: DataFrame, repo: str, number: int, top_k: int = 10, state: str | None = None, decimals: int | None = None) -> DataFrame:
@@ -59,4 +67,4 @@ def find_related(issues: DataFrame, vecs: DataFrame, repo: str, number: int, top
         return issues.select("id", "repo", "number", "title", F.lit(0.0).alias("score")).limit(0)
     others = vectors.candidates(issues, vecs, SearchFilter(state=state).predicate()).where(F.col("id") != own[0].id)
     best = vectors.top_k(others, own[0].embedding, top_k, decimals).select("id", F.col("sim").alias("score"))
-    return F.broadcast(best).join(issues.select("id", "repo", "number", "title"), "id").select("id", "repo", "number", "title", "score").orderBy(F.desc("score"), "id")  # top_k hits
+    return _few(best, top_k).join(issues.select("id", "repo", "number", "title"), "id").select("id", "repo", "number", "title", "score").orderBy(F.desc("score"), "id")

@@ -14,7 +14,7 @@ from ..functions.vector import decode_f32, dot, encode_f32, l2_normalise
 from ..operators import bm25, context, duplicates, evaluate, index, querylog, relations, retrieve
 from ..operators import vectors as V
 from ..operators.filters import SearchFilter
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import github, raw
 from . import tables as R
 
@@ -512,9 +512,7 @@ def comment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ISSUES_SQL}, said AS (SELECT conv_id AS number, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS talk FROM conversations GROUP BY conv_id) SELECT repo, number, kind, title, md5(body) AS body_md5, updated_at, coalesce(n, 0) AS n_comments, coalesce(talk, '') AS talk FROM (SELECT * REPLACE ('r/t' AS repo) FROM issues) LEFT JOIN said USING (number)")
 def raw_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues and comments landed as compressed lines, merged, and loaded with their comments."""
-    import uuid
-
-    store = raw.RawStore(spark, f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}")
+    store = raw.RawStore(spark, scratch(spark, "raw"))
     store.merge_issues("r/t", raw.to_raw(R.issues(spark, sf_dir)))
     talk = R.read(spark, sf_dir, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").alias("issue_number"), F.col("role").alias("author"), F.col("text").alias("body"), F.lit("").alias("created_at"))
     store.merge_comments("r/t", talk.withColumn("id", F.col("issue_number") * 1000 + F.col("id")))

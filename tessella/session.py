@@ -28,11 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
+def _goes_with(spark: SparkSession, path: str, make: bool = False) -> None:
+    """Have a folder removed when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if make:
+        fs.mkdirs(where)
+    fs.deleteOnExit(where)  # of what is there already
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
+    _goes_with(spark, path, make=True)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage is cut in storage that outlives executors. The folder goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _goes_with(spark, path)
     return spark.read.schema(df.schema).parquet(path)
