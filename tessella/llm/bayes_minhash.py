@@ -206,9 +206,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
-        up = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        onwards = edges.select("v").distinct().join(up, F.col("v") == F.col("u"), "left_semi")
-        if up.where("lo <> hi").select("u").unionByName(onwards.toDF("u")).isEmpty():
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
+        onwards = ends.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi"), F.max(F.col("to").isNull()).alias("is_end")).where("lo <> hi OR lo IS NOT NULL AND is_end")
+        if onwards.isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
